@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from graphloom.plans import chunks, graphs, references, search  # noqa: F401  (they register their queries)
+from graphloom.plans.base import ORACLE, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import references
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": references.p3_found, "p3_report": references.p3_report}
+def queries() -> dict[str, Query]:
+    return {"p3_found": references.p3_found, "p3_report": references.p3_report} | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return references.oracle_sql()
+    return references.oracle_sql() | ORACLE
