@@ -57,8 +57,9 @@ def rrf(rankings: list[DataFrame], k: float = 60.0, first: int = 1) -> DataFrame
 def ranked(scored: DataFrame, k: int | None = None) -> DataFrame:
     """Rank from 0 within each query by score, ties by id."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    out = scored.withColumn("rank", F.row_number().over(w) - 1)
-    return out if k is None else out.filter(F.col("rank") < k)
+    out = scored.withColumn("n", F.row_number().over(w))
+    out = out if k is None else out.filter(F.col("n") <= k)
+    return out.withColumn("rank", F.col("n") - 1).drop("n")
 
 
 def match_rate(queries: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:

@@ -28,7 +28,7 @@ def top_k(scored: DataFrame, k: int, threshold: float | None = None) -> DataFram
     """The ``k`` best of each query with rank from 0; ties by id. Ranks are limited before the shuffle."""
     kept = scored if threshold is None else scored.filter(F.col("score") >= threshold)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return kept.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    return kept.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).withColumn("rank", F.col("n") - 1).drop("n")
 
 
 def sparse_dot(queries: DataFrame, documents: DataFrame) -> DataFrame:

@@ -17,15 +17,15 @@ from pyspark.sql import types as T
 
 def read_texts(spark: SparkSession, folder: str, suffixes: list[str] | None = None) -> DataFrame:
     """(path, text) of all files below a folder, one row a file, optionally by suffix; read as UTF-8."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if suffixes:
         reader = reader.option("pathGlobFilter", "*{" + ",".join(suffixes) + "}")
-    return reader.text(folder).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return reader.text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def read_json_store(spark: SparkSession, path: str, value: str) -> DataFrame:
     """A JSON object of id -> value as (id, ...value). ``value`` is the SQL type of a value, e.g. ``struct<...>`` or ``string``."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     rows = whole.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("id", "v"))
     return rows.select("id", "v.*") if value.startswith("struct") else rows.select("id", F.col("v").alias("value"))
 
@@ -83,7 +83,7 @@ EDGES = (
 
 def read_graph_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a GML multigraph. A graph file is one unsplittable text, parsed by one executor task per file."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     nodes, edges = T._parse_datatype_string(NODES), T._parse_datatype_string(EDGES)
 
     def one(a: dict[str, list], name: str) -> str | None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from graphloom.operators.chunking import new_chunks, simple_chunks
@@ -25,7 +26,7 @@ def ingest_batch(documents: DataFrame, folder: str, batch: int, max_size: int =
     """
     spark = documents.sparkSession
     chunks = simple_chunks(documents, max_size, overlap)
-    known = _stored(spark, folder, chunks.schema.add("batch", "int")).filter(f"batch <> {batch}")
+    known = _stored(spark, folder, chunks.schema.add("batch", T.IntegerType())).filter(f"batch <> {batch}")
     fresh = new_chunks(chunks, known, ["doc_id", "chunk_order_idx"])
     fresh.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
 
