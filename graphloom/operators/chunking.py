@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalar
-from graphloom.session import materialize
+from graphloom.operators.numbering import number_rows
 
 
 def pack_sentences(sentences: Column, max_size: int, overlap: int = 0) -> Column:
@@ -50,23 +50,11 @@ def simple_chunks(documents: DataFrame, max_size: int, overlap: int = 0, text: s
 
 
 def whole_document_chunks(documents: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """Without a chunker each document is one chunk, numbered ``doc_0``, ``doc_1``, ... by ``order``.
-
-    The numbers come from a range partitioning: each partition counts its own
-    rows and adds the rows of the partitions before it, so no single task sorts
-    all documents. Equal values of ``order`` are told apart by the text.
-    """
-    ranged = documents.select(order, text).repartitionByRange(order, text).sortWithinPartitions(order, text)
-    ranged = ranged.withColumn("part", F.spark_partition_id()).withColumn("line", F.monotonically_increasing_id())
-    ranged = materialize(ranged, "ranged")  # both uses below must see the same partitions
-    base = ranged.groupBy("part").agg(F.count("*").alias("rows"), F.min("line").alias("first"))
-    # One row per partition.
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = base.withColumn("offset", F.coalesce(F.sum("rows").over(before), F.lit(0)))
-    number = (F.col("offset") + F.col("line") - F.col("first")).cast("string")
-    return ranged.join(F.broadcast(base), "part").select(
+    """Without a chunker each document is one chunk, numbered ``doc_0``, ``doc_1``, ... by ``order``, then the text."""
+    numbered = number_rows(documents.select(order, text), [order, text], "__n")
+    return numbered.select(
         order,
-        F.concat(F.lit("doc_"), number).alias("chunk_doc"),
+        F.concat(F.lit("doc_"), F.col("__n").cast("string")).alias("chunk_doc"),
         F.lit(0).alias("chunk_order_idx"),
         scalar.chunk_id(F.col(text)).alias("id"),
         F.col(text).alias("content"),

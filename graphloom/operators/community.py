@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import community_id
-from graphloom.session import materialize
+from graphloom.operators.numbering import number_rows
+from graphloom.session import drop_materialized, materialize
 
 
 def _move(edges: DataFrame, labels: DataFrame, turn: int, resolution: float) -> DataFrame:
@@ -54,7 +55,8 @@ def detect(links: DataFrame, max_size: int = 128, rounds: int = 6, levels: int =
     for level in range(levels):
         labels = edges.select("part", "src").distinct().withColumn("label", F.col("src"))
         for turn in range(rounds):
-            labels = materialize(_move(edges, labels, turn, resolution), "communities")
+            before, labels = labels, materialize(_move(edges, labels, turn, resolution), "communities")
+            drop_materialized(before)
         # a cluster is named by its part and label
         cluster = F.concat_ws("\u0001", "part", "label")
         placed = labels.select(F.col("src").alias("id"), cluster.alias("cluster"))
@@ -69,9 +71,7 @@ def detect(links: DataFrame, max_size: int = 128, rounds: int = 6, levels: int =
         edges = materialize(inner.filter("part = other").select("src", "dst", "part"), "edges")
         if edges.limit(1).count() == 0:
             break
-    # Numbered by clusters, not by nodes: one row each.
-    number = Window.partitionBy("level").orderBy("first")
-    names = out.select("level", "first").distinct().withColumn("cluster_id", F.row_number().over(number) - 1)
+    names = number_rows(out.select("level", "first").distinct(), ["level", "first"], "cluster_id", within="level")
     return out.join(names, ["level", "first"]).select("id", "level", F.col("cluster_id").cast("int").alias("cluster_id"))
 
 
@@ -112,9 +112,9 @@ def renumbering(new: DataFrame, stored: DataFrame) -> DataFrame:
     """(level, cluster_id, new_id): dense ranks of new local ids after the largest stored id of the level."""
     top = stored.filter("cluster_id is not null").groupBy("level").agg(F.max("cluster_id").alias("top"))
     local = new.select("level", "cluster_id").filter("cluster_id is not null").distinct()
-    rank = F.dense_rank().over(Window.partitionBy("level").orderBy("cluster_id")) - 1
-    moved = rank + F.coalesce("top", F.lit(-1)) + 1
-    return local.join(top, "level", "left").select("level", "cluster_id", moved.cast("int").alias("new_id"))
+    ranked = number_rows(local, ["level", "cluster_id"], "rank", within="level")
+    moved = F.col("rank") + F.coalesce("top", F.lit(-1)) + 1
+    return ranked.join(top, "level", "left").select("level", "cluster_id", moved.cast("int").alias("new_id"))
 
 
 def remap_clusters(entities: DataFrame, mapping: DataFrame) -> DataFrame:

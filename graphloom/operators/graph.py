@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import materialize
+from graphloom.session import drop_materialized, materialize
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -85,7 +85,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         # small star: smaller neighbours and the node itself move to the smallest neighbour
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.explode(F.array("lo", "hi")).alias("hi"), F.col("m").alias("lo"))
-        edges = materialize(small.filter("hi <> lo").select("lo", "hi").distinct(), "links")
+        before, edges = edges, materialize(small.filter("hi <> lo").select("lo", "hi").distinct(), "links")
+        drop_materialized(before)
         now = edges.select(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if now == state:
             break

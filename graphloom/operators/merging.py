@@ -15,7 +15,7 @@ from graphloom.functions.scalar import SENTENCE_BREAK, squeeze
 
 def union_of(arrays: str) -> Column:
     """Sorted distinct non-null elements of all arrays of a group."""
-    flat = F.flatten(F.collect_list(F.coalesce(F.col(arrays), F.array().cast("array<string>"))))
+    flat = F.flatten(F.collect_set(F.coalesce(F.col(arrays), F.array().cast("array<string>"))))
     return F.sort_array(F.array_distinct(F.filter(flat, lambda x: x.isNotNull())))
 
 

@@ -7,21 +7,25 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import as_double, cosine
 
-#: Query vectors that are broadcast at once; larger sets are answered by the index of the retrieval package.
+#: Query vectors that are broadcast at once.
 MAX_QUERIES = 10_000
 
 
 def score_against(queries: DataFrame, vectors: DataFrame, query_id: str, id_column: str, vector: str) -> DataFrame:
-    """(query_id, id, score): cosines of a small stated query set with every vector, in one pass over the vectors.
+    """(query_id, id, score): cosines of a stated query set with every vector.
 
-    The query set is bounded by ``MAX_QUERIES``, which is checked.
+    At most ``MAX_QUERIES`` queries are broadcast at a time; a larger set is cut
+    into blocks by a hash of the id, each scanning the vectors once.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), as_double(F.col(vector)).alias("qv"))
-    if asked.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors; use the inverted-file index")
     stored = vectors.select(F.col(id_column).alias("id"), as_double(F.col(vector)).alias("v"))
-    scored = stored.join(F.broadcast(asked)).select("query_id", "id", F.round(cosine(F.col("qv"), F.col("v")), 6).alias("score"))
-    return scored.filter("score is not null and not isnan(score)")
+    blocks = max(1, -(-asked.count() // MAX_QUERIES))
+    out = None
+    for block in range(blocks):
+        some = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        scored = stored.join(F.broadcast(some)).select("query_id", "id", F.round(cosine(F.col("qv"), F.col("v")), 6).alias("score"))
+        out = scored if out is None else out.unionAll(scored)
+    return out.filter("score is not null and not isnan(score)")
 
 
 def top_k(scored: DataFrame, k: int, threshold: float | None = None) -> DataFrame:

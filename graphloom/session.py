@@ -67,14 +67,15 @@ def materialize(df: DataFrame, label: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{label}-{os.getpid()}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_materialized(df: DataFrame) -> None:
-    """Delete the files behind a frame made by :func:`materialize`."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(hadoop).delete(path, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.materialized_path = path
+    return out
+
+
+def drop_materialized(df: DataFrame | None) -> None:
+    """Delete the files behind a frame made by :func:`materialize`, once nothing reads them any more."""
+    path = getattr(df, "materialized_path", None)
+    if path is not None:
+        spark = df.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
