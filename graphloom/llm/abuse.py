@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import tidy
+from graphloom.session import materialize
 
 BAD = ("abusive", "hateful", "sexual")
 CLEAN = "clean"
@@ -330,8 +331,8 @@ def _threshold(scores: np.ndarray, bad: np.ndarray) -> float:
     return float((scores[order[top]] + below) / 2)
 
 
-def labelled(documents: DataFrame, reviews: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, text, bad) of the reviewed documents with a majority verdict, ``most`` of them at most."""
+def labelled(documents: DataFrame, reviews: DataFrame, most: int = MAX_LABELLED, most_chars: int = MAX_CHARS) -> DataFrame:
+    """(doc_id, text, bad) of the reviewed documents with a majority verdict: a bounded number, of bounded total length."""
     verdict = tidy(F.col("verdict"))
     votes = (
         reviews.select(F.col("doc_id").cast("long").alias("doc_id"), verdict.alias("v"))
@@ -342,18 +343,28 @@ def labelled(documents: DataFrame, reviews: DataFrame, most: int = MAX_LABELLED)
     )
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", (F.col("lean") > 0).alias("bad"))
+    # one row per document, however often it is stored
+    once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("lean").alias("lean"))
+    once = materialize(once.select("doc_id", "text", (F.col("lean") > 0).alias("bad")), "labelled")
+    # the first of them by the hash, up to the allowed number of characters: two numbers each reach the driver
+    sizes = once.select(F.xxhash64("doc_id").alias("h"), F.char_length("text").alias("n")).orderBy("h").collect()
+    used, last = 0, None
+    for r in sizes:
+        used += r["n"]
+        if used > most_chars:
+            break
+        last = r["h"]
+    return once.filter(F.xxhash64("doc_id") <= F.lit(last)) if last is not None else once.limit(0)
 
 
 def fit(documents: DataFrame, reviews: DataFrame, most: int = MAX_LABELLED) -> Model | None:
     """The classifier, fitted on the driver to the bounded set of labelled documents."""
     rows = sorted(labelled(documents, reviews, most).collect(), key=lambda r: (r["doc_id"], r["text"]))
     seen: set[str] = set()
-    texts, bad, used = [], [], 0
+    texts, bad = [], []
     for r in rows:
-        if r["text"] not in seen and used + len(r["text"]) <= MAX_CHARS:
+        if r["text"] not in seen:
             seen.add(r["text"])
-            used += len(r["text"])
             texts.append(r["text"])
             bad.append(r["bad"])
     y = np.array(bad, dtype=bool)
