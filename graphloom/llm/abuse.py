@@ -46,6 +46,7 @@ from graphloom.session import materialize
 
 BAD = ("abusive", "hateful", "sexual")
 CLEAN = "clean"
+#: Below 65 536, as documents are counted in 16 bits.
 MAX_LABELLED = 20_000
 MAX_CHARS = 12_000_000
 WINDOW = 28
@@ -110,12 +111,13 @@ def fold(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep = (letters > 0) | zero
     lengths = np.array([len(t) + len(gap) for t in texts], dtype=np.int64)
     begin = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(texts) else np.empty(0, dtype=np.int64)
+    del codes, small, signs, zero
     letters = letters[keep]
     fresh = np.ones(len(letters), dtype=bool)
     fresh[1:] = (letters[1:] != letters[:-1]) | (letters[1:] == 0)
-    position = np.cumsum(keep) - keep
-    place = np.cumsum(fresh) - fresh
-    starts = place[np.minimum(position[begin], len(letters) - 1)] if len(texts) else begin
+    position = np.cumsum(keep, dtype=np.int32) - keep
+    place = np.cumsum(fresh, dtype=np.int32) - fresh
+    starts = place[np.minimum(position[begin], len(letters) - 1)].astype(np.int64) if len(texts) else begin
     return letters[fresh].astype(np.int32), starts
 
 
@@ -129,19 +131,24 @@ def _features(letters: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
         yield code, weight
 
 
-def place_scores(letters: np.ndarray, table: np.ndarray) -> np.ndarray:
+def place_scores(letters: np.ndarray, table: np.ndarray, step: int = 1 << 20) -> np.ndarray:
     """Sum of the table over the subsequences that begin at each place."""
     total = np.zeros(len(letters), dtype=np.float32)
-    for code, weight in _features(letters):
-        total += table[code] * np.float32(weight)
+    for lo in range(0, len(letters), step):
+        part = total[lo : lo + step]
+        for code, weight in _features(letters[lo : lo + step + 6]):
+            part += table[code[: len(part)]] * np.float32(weight)
     return total
 
 
 def window_sums(places: np.ndarray) -> np.ndarray:
     """Sum over the WINDOW places from each one on."""
     sums = np.concatenate(([0.0], np.cumsum(places, dtype=np.float64)))
-    ends = np.minimum(np.arange(len(places)) + WINDOW, len(places))
-    return (sums[ends] - sums[:-1]).astype(np.float32)
+    out = np.empty(len(places), dtype=np.float32)
+    full = max(0, len(places) - WINDOW + 1)
+    out[:full] = sums[WINDOW:][:full] - sums[:full]
+    out[full:] = sums[-1] - sums[full:-1]
+    return out
 
 
 @dataclass
@@ -200,8 +207,8 @@ class _Kernel:
     def rows(self, at: np.ndarray) -> np.ndarray:
         """k(window, landmark); a window is scaled as one full of letters, so that scores add up place by place."""
         out = np.zeros((len(at), self.count))
-        for first in range(0, len(at), 1000):
-            row, code, weight = _bag(self.letters, at[first : first + 1000])
+        for first in range(0, len(at), 200):
+            row, code, weight = _bag(self.letters, at[first : first + 200])
             column = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
             hit = self.codes[column] == code
             row, column, weight = row[hit], column[hit], weight[hit]
@@ -210,7 +217,7 @@ class _Kernel:
             entry = np.arange(total[-1] if len(total) else 0) - np.repeat(total - length - self.first[column], length)
             cell = np.repeat(row, length) * self.count + self.mark[entry]
             amount = np.repeat(weight, length) * self.value[entry]
-            n = len(at[first : first + 1000])
+            n = len(at[first : first + 200])
             out[first : first + n] = np.bincount(cell, weights=amount, minlength=n * self.count).reshape(n, self.count)
         return out / _SCALE
 
@@ -242,20 +249,25 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float | None =
 
 def _start(letters: np.ndarray, starts: np.ndarray, bad: np.ndarray) -> np.ndarray:
     """Log-odds of the plain four letters between bad and clean documents, per place."""
-    code = next(_features(letters))[0]
-    doc = np.searchsorted(starts, np.arange(len(letters)), side="right") - 1
-    pair = np.unique(code.astype(np.int64) * len(starts) + doc)
-    code_of, doc_of = pair // len(starts), pair % len(starts)
-    names, column = np.unique(code_of, return_inverse=True)
-    in_bad = np.bincount(column, weights=bad[doc_of], minlength=len(names))
-    in_all = np.bincount(column, minlength=len(names))
+    in_bad = np.zeros(1 << (4 * _BITS), dtype=np.uint16)
+    in_all = np.zeros(1 << (4 * _BITS), dtype=np.uint16)
+    ends = np.append(starts[1:], len(letters))
+    for lo in range(0, len(starts), 256):  # documents counted at a time
+        hi = min(lo + 256, len(starts))
+        part = next(_features(letters[starts[lo] : ends[hi - 1]]))[0].astype(np.int64)
+        doc = np.repeat(np.arange(hi - lo), ends[lo:hi] - starts[lo:hi])
+        pair = np.unique(part << 8 | doc)
+        codes, first, count = np.unique(pair >> 8, return_index=True, return_counts=True)
+        in_all[codes] += count.astype(np.uint16)
+        in_bad[codes] += np.add.reduceat(bad[lo:hi][pair & 255], first, dtype=np.uint16)
+    names = np.flatnonzero(in_all)
+    in_bad, in_all = in_bad[names].astype(float), in_all[names].astype(float)
     n_bad, n_clean = bad.sum(), (~bad).sum()
     odds = np.log((in_bad + 0.3) / (n_bad + 0.6)) - np.log((in_all - in_bad + 0.3) / (n_clean + 0.6))
-    value = np.where((names > 0) & (in_bad > 1), odds, np.minimum(odds, 0.0))
     table = np.zeros(1 << (4 * _BITS), dtype=np.float32)
-    table[names] = value
+    table[names] = np.where(in_bad > 1, odds, np.minimum(odds, 0.0))
     table[0] = 0.0
-    return table[code]
+    return np.concatenate([table[next(_features(letters[lo : lo + (1 << 20) + 6]))[0][: 1 << 20]] for lo in range(0, len(letters), 1 << 20)])
 
 
 def _worst(sums: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -285,10 +297,9 @@ def _fit(texts: list[str], bad: np.ndarray) -> tuple[np.ndarray, np.ndarray, flo
     letters, starts = fold(texts)
     sums = window_sums(_start(letters, starts, bad))
     clean_docs, bad_docs = np.flatnonzero(~bad), np.flatnonzero(bad)
-    places = np.flatnonzero(letters > 0)
-    doc_of = np.searchsorted(starts, places, side="right") - 1
-    clean_places = places[~bad[doc_of]]
-    background = rng.choice(clean_places, min(len(clean_places), BACKGROUND), replace=False)
+    drawn = np.unique(rng.integers(0, len(letters), 3 * BACKGROUND))
+    drawn = drawn[(letters[drawn] > 0) & ~bad[np.searchsorted(starts, drawn, side="right") - 1]]
+    background = rng.permutation(drawn)[:BACKGROUND]
     hard = np.empty(0, dtype=np.int64)
     for turn in range(ROUNDS):
         worst = _worst(sums, starts)
