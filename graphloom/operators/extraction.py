@@ -5,16 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalar import normal_type, sentences
+from graphloom.functions.scalar import normal_type, sentences, strip
 
-# Phrases by which a model says that there is no relation. Java patterns with Unicode flags.
+# Patterns by which a model says that there is no relation, for a search with case and Unicode folding.
 NO_RELATION = [
-    r"не\s+связан", r"нет\s+(прямой\s+)?связи", r"связь\s+(не\s+установлена|отсутствует)", r"отношени\w*\s+отсутству",
-    r"не\s+имеет\s+отношения", r"не\s+упомина", r"не\s+указан", r"не\s+содержит", r"невозможно\s+определить",
-    r"нет\s+информации", r"нет\s+данных", r"информация\s+отсутствует", r"не\s+относ", r"нет\s+отношени",
-    r"никак\s+не\s+связ", r"не\s+прослежива",
-]
-BULLET = r"^\s*(?:[-*•–—]|\d+[.)])\s*"
+    r"^\s*$",
+    r"^\s*[\-–—]\s*$",
+    r"^(?:[-•]\s*)?(?:отсутств\w*\s+(?:связ\w*|отнош\w*)|нет\s+(?:связ\w*|отнош\w*|информац\w*|данн\w*|сведен\w*))\b",
+    r"\bтекст\s+не\s+содерж\w*\b",
+    r"\b(?:текст\s+)?не\s+содерж\w*\s+информац\w*\s+о\b",
+    r"\bнет\s+(?:информац\w*|сведен\w*|данн\w*)(?:\s+о\b|\b)",
+    r"\bне\s+явля\w*\s+\w*отнош\w*",
+    r"\bнет\s+\w*отнош\w*",
+    r"\bотсутств\w*\s+\w*отнош\w*",
+    r"\bне\s+содерж\w*\s+\w*отнош\w*",
+    r"\bнет\s+явн\w*\s+\w*отнош\w*",
+    r"\bнет\s+\w*связ\w*",
+    r"\bотсутств\w*\s+\w*связ\w*",
+    r"\bсвяз\w*\s+не\s+(?:установ\w*|прослежива\w*|подтвержд\w*|обнаруж\w*)",
+    r"\bотнош\w*\s+не\s+(?:установ\w*|прослежива\w*|подтвержд\w*|обнаруж\w*)",
+    r"\bне[^.\n]{0,60}(?:содерж\w*|ука\w*|упомина\w*|найд\w*|обнаруж\w*|подтвержд\w*|установ\w*|прослеж\w*)[^.\n]{0,80}(?:связ\w*|отнош\w*|информац\w*)",
+]
+BULLET = r"^[\-•]\s*"
 
 
 def entity_mentions(chunks: DataFrame) -> DataFrame:
@@ -55,12 +67,12 @@ def ordered_pairs(mentions: DataFrame, group: str, name: str, pos: str) -> DataF
 
 
 def without_bullet(text: Column) -> Column:
-    return F.regexp_replace(text, BULLET, "")
+    return F.regexp_replace(strip(text), BULLET, "")
 
 
 def states_relation(text: Column) -> Column:
-    """False for null, empty and negating descriptions (after the bullet)."""
-    body = F.trim(without_bullet(text))
+    """False for null, empty and negating descriptions (without their leading bullet)."""
+    body = without_bullet(text)
     return F.coalesce((body != "") & ~F.regexp_like(body, F.lit("(?iuU)" + "|".join(NO_RELATION))), F.lit(False))
 
 

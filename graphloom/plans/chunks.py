@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -206,15 +208,22 @@ def ordered_pairs(spark: SparkSession, base: str) -> DataFrame:
     return extraction.ordered_pairs(named, "sentence", "entity_name", "word_no")
 
 
-_NEGATION = "|".join(p.replace("\\w", "[\\p{L}\\p{N}_]") for p in extraction.NO_RELATION)
+_WORD = "[\\p{L}\\p{N}_]"
+_OUTER = "[^\\p{L}\\p{N}_]"
+# DuckDB's \w and \b know ASCII only: spelled out, a boundary before a word or after it.
+_NEGATION = "|".join(
+    re.sub(r"\\b(?=[(а-я])", lambda _: f"(?:^|{_OUTER})", p).replace("\\w", _WORD).replace("\\b", f"(?:$|{_OUTER})")
+    for p in extraction.NO_RELATION
+)
 
 
 @query(
-    "with b as (select rec_no, trim(regexp_replace(description, '^\\s*(?:[-*•–—]|\\d+[.)])\\s*', '')) d from kg_relation where description is not null)"
-    f" select rec_no from b where d <> '' and not regexp_matches(lower(d), '{_NEGATION}')"
+    "with b as (select rec_no, regexp_replace(regexp_replace(description, '^\\s+|\\s+$', '', 'g'), '^[\\-•]\\s*', '') d from kg_relation"
+    f" where description is not null) select rec_no, d description from b where d <> '' and not regexp_matches(lower(d), '{_NEGATION}')"
 )
 def negation_filter(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "kg_relation").filter(extraction.states_relation(F.col("description"))).select("rec_no")
+    kept = table(spark, base, "kg_relation").filter(extraction.states_relation(F.col("description")))
+    return kept.select("rec_no", extraction.without_bullet(F.col("description")).alias("description"))
 
 
 @query(

@@ -59,8 +59,13 @@ def test_ids_match_plain_md5(spark):
 def test_types_and_negations(spark):
     rows = spark.createDataFrame([("PERSON (see x)",), ("",), (None,), (" CITY ",)], "t string").select(scalar.normal_type(F.col("t")).alias("t")).collect()
     assert [r["t"] for r in rows] == ["PERSON", "UNKNOWN", "UNKNOWN", "CITY"]
-    said = spark.createDataFrame([("- Иван руководит банком",), ("НЕ СВЯЗАН с банком",), ("1. нет информации",), ("",), (None,)], "d string")
-    assert [r["k"] for r in said.select(extraction.states_relation(F.col("d")).alias("k")).collect()] == [True, False, False, False, False]
+    said = [
+        ("- Иван руководит банком", True), ("НЕТ ИНФОРМАЦИИ о банке", False), ("•  Отсутствует связь между ними", False), ("", False), (None, False),
+        ("Связь не установлена", False), ("Текст не содержит сведений", False), (" - ", False), ("Они нетипично связаны", True),
+        ("В тексте не указано, есть ли между ними связь.", False),
+    ]
+    df = spark.createDataFrame([(i, d) for i, (d, _) in enumerate(said)], "i int, d string")
+    assert [r["k"] for r in df.orderBy("i").select(extraction.states_relation(F.col("d")).alias("k")).collect()] == [k for _, k in said]
 
 
 def test_relation_names_resolve_within_their_chunk(spark):
