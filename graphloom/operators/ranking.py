@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.extraction import normal_tokens
+from graphloom.session import materialize
 
 K1, B, AVG_LEN, MAX_TOKEN = 1.2, 0.75, 256.0, 40
 
@@ -36,6 +37,7 @@ def bm25_scores(queries: DataFrame, documents: DataFrame, query_key: str, key: s
     """
     asked = term_counts(queries, query_key, text).select(F.col(query_key).alias("query_id"), "term")
     counts = term_counts(documents, key, text).join(asked.select("term").distinct(), "term", "left_semi")
+    counts = materialize(counts, "terms")  # used for the frequencies and for the weights
     total = documents.filter(F.col(text).isNotNull()).agg(F.count("*").alias("total"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(total)).withColumn("idf", F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)))

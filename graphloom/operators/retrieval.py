@@ -27,7 +27,7 @@ def naive_search(
     ``query`` has (query_id, vector); ``store`` (id, vector). Hits without a
     record are dropped and keep their rank.
     """
-    hits = vectors.top_k(vectors.score_against(query, store, "query_id", "id", "vector"), top_k, threshold)
+    hits = vectors.top_k(vectors.score_against(query, store, "query_id", "id", "vector", threshold, top_k), top_k)
     found = hits.join(records, "id")
     return found if scorer is None else ranking.rerank(scorer(found), keep=keep)
 

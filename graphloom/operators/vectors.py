@@ -2,30 +2,81 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalar import as_double, cosine
-
 #: Query vectors that are broadcast at once.
 MAX_QUERIES = 10_000
 
 
-def score_against(queries: DataFrame, vectors: DataFrame, query_id: str, id_column: str, vector: str) -> DataFrame:
-    """(query_id, id, score): cosines of a stated query set with every vector.
+def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, unit vectors) of the usable vectors: of ``dim`` finite numbers, not all zero."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(sizes == dim)
+    flat = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
+    norm = np.sqrt((flat**2).sum(axis=1))
+    good = np.isfinite(norm) & (norm > 0)
+    return rows[good], flat[good] / norm[good, None]
+
 
-    At most ``MAX_QUERIES`` queries are broadcast at a time; a larger set is cut
-    into blocks by a hash of the id, each scanning the vectors once.
+def score_against(
+    queries: DataFrame, vectors: DataFrame, query_id: str, id_column: str, vector: str, threshold: float | None = None, k: int | None = None
+) -> DataFrame:
+    """(query_id, id, score): cosines of a stated query set with every vector, by matrix products over Arrow batches.
+
+    The vectors are read once and not shuffled; ``threshold``, and ``k`` (the
+    best of each query within a batch, ties by id), cut the result where it is
+    made, so that :func:`top_k` shuffles ``k`` rows a query and batch at most.
+    Null, empty, zero and not finite vectors and those of another length than
+    the queries' take no part. At most ``MAX_QUERIES`` queries are broadcast at
+    a time; a larger set is cut into blocks by a hash of the id, each scanning
+    the vectors once.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), as_double(F.col(vector)).alias("qv"))
-    stored = vectors.select(F.col(id_column).alias("id"), as_double(F.col(vector)).alias("v"))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v")).filter("size(v) > 0")
+    stored = vectors.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    kinds = (asked.schema["query_id"].dataType.simpleString(), stored.schema["id"].dataType.simpleString())
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, score double"
     blocks = max(1, -(-asked.count() // MAX_QUERIES))
     out = None
     for block in range(blocks):
         some = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        scored = stored.join(F.broadcast(some)).select("query_id", "id", F.round(cosine(F.col("qv"), F.col("v")), 6).alias("score"))
+        table = some.toArrow()
+        shared = vectors.sparkSession.sparkContext.broadcast(table)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            table = shared.value
+            lists = table.column("v").combine_chunks()
+            dim = len(lists[0]) if len(lists) else 0
+            rows, unit = _unit(lists, dim) if dim else (np.empty(0, dtype=np.int64), np.empty((0, 0)))
+            names = table.column("query_id").combine_chunks().take(pa.array(rows))
+            for batch in batches:
+                own, x = _unit(batch.column(1), dim) if len(rows) else (rows, unit)
+                if not len(own) or not len(rows):
+                    continue
+                ids = batch.column(0).take(pa.array(own))
+                score = np.round(unit @ x.T, 6)
+                keep = np.ones(score.shape, dtype=bool) if threshold is None else score >= threshold
+                if k is not None and k < score.shape[1]:
+                    place = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+                    for i in range(len(score)):
+                        # all that tie with the k-th stay in question, then the smaller ids win
+                        near = np.flatnonzero(score[i] >= np.partition(score[i], -k)[-k])
+                        best = near[np.lexsort((place[near], -score[i][near]))[:k]]
+                        mask = np.zeros(score.shape[1], dtype=bool)
+                        mask[best] = True
+                        keep[i] &= mask
+                q, c = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(q)), ids.take(pa.array(c)), pa.array(score[q, c])], names=["query_id", "id", "score"]
+                )
+
+        scored = stored.mapInArrow(run, schema)
         out = scored if out is None else out.unionAll(scored)
-    return out.filter("score is not null and not isnan(score)")
+    return out
 
 
 def top_k(scored: DataFrame, k: int, threshold: float | None = None) -> DataFrame:

@@ -24,14 +24,14 @@ def _embeddings(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     return asked, store
 
 
-def _scored(spark: SparkSession, base: str) -> DataFrame:
+def _scored(spark: SparkSession, base: str, k: int | None = None) -> DataFrame:
     asked, store = _embeddings(spark, base)
-    return vectors.score_against(asked, store, "query_id", "id", "vector")
+    return vectors.score_against(asked, store, "query_id", "id", "vector", k=k)
 
 
 @query(f"with {_KNN} r as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) - 1 rank from s) select * from r where rank < 20")
 def knn_batch_topk(spark: SparkSession, base: str) -> DataFrame:
-    return vectors.top_k(_scored(spark, base), 20)
+    return vectors.top_k(_scored(spark, base, 20), 20)
 
 
 @query(f"with {_KNN} r as (select query_id, id, score from s where score >= 0.2) select query_id, count(*) hits, max(score) best from r group by query_id")
@@ -69,7 +69,7 @@ select query_id, r.id, score, rank, entity_name from r join ent on ent.id = r.id
 def similar_entities(spark: SparkSession, base: str) -> DataFrame:
     store = _entity_vectors(spark, base)
     asked = store.filter(F.col("vec_no") % EVERY == 0)
-    scored = vectors.score_against(asked, store, "vec_no", "id", "vector")
+    scored = vectors.score_against(asked, store, "vec_no", "id", "vector", k=6)  # itself and five
     own = asked.select(F.col("vec_no").alias("query_id"), "id")
     hits = vectors.top_k(scored.join(own, ["query_id", "id"], "left_anti"), 5)
     return hits.join(entities(spark, base).select("id", "entity_name"), "id")
@@ -137,7 +137,7 @@ def rrf_hybrid(spark: SparkSession, base: str) -> DataFrame:
 
 @query(f"with {_KNN} r as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) - 1 rank from s where id <> query_id) select * from r where rank < 3")
 def icl_semantic(spark: SparkSession, base: str) -> DataFrame:
-    return vectors.top_k(_scored(spark, base).filter("id <> query_id"), 3)
+    return vectors.top_k(_scored(spark, base, 4).filter("id <> query_id"), 3)
 
 
 @query(f"with {_KNN} h as (select distinct query_id from s where id <> query_id and score >= 0.35) select round(avg(case when h.query_id is null then 1.0 else 0.0 end), 6) miss_rate, count(*) asked from q left join h on h.query_id = q.query_id")
@@ -170,7 +170,7 @@ def _seeds(spark: SparkSession, base: str) -> DataFrame:
     """The 20 entities most similar to the first usable vector."""
     store = _entity_vectors(spark, base)
     asked = store.orderBy("vec_no").limit(1)
-    hits = vectors.top_k(vectors.score_against(asked, store, "vec_no", "id", "vector"), 20, retrieval.THRESHOLD)
+    hits = vectors.top_k(vectors.score_against(asked, store, "vec_no", "id", "vector", retrieval.THRESHOLD, 20), 20)
     return hits.select("id", F.col("rank").alias("seed_order")).join(entities(spark, base).select("id"), "id", "left_semi")
 
 
