@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.extraction import normal_tokens
+from graphloom.operators.vectors import best_of_batch
 from graphloom.session import materialize
 
 K1, B, AVG_LEN, MAX_TOKEN = 1.2, 0.75, 256.0, 40
@@ -29,22 +35,61 @@ def bm25_weights(counts: DataFrame) -> DataFrame:
     return counts.withColumn("val", tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / AVG_LEN)))
 
 
-def bm25_scores(queries: DataFrame, documents: DataFrame, query_key: str, key: str, text: str = "text") -> DataFrame:
+def bm25_scores(queries: DataFrame, documents: DataFrame, query_key: str, key: str, text: str = "text", k: int | None = None) -> DataFrame:
     """(query_id, id, score): document weights times inverse document frequency, summed over the query's distinct terms.
 
-    Both sides are exploded to terms and meet in an equi-join; only terms some
-    query has are weighted.
+    The queries are a stated set, broadcast by term; only terms some query has
+    are weighted, and each document's weights are multiplied out in Arrow
+    batches instead of joined, as common terms would pair most documents with
+    most queries. With ``k`` only the best of each query leave a batch (ties by
+    id), for :func:`ranked` to choose from. Pairs without a common term are no
+    result.
     """
+    spark = documents.sparkSession
     asked = term_counts(queries, query_key, text).select(F.col(query_key).alias("query_id"), "term")
     counts = term_counts(documents, key, text).join(asked.select("term").distinct(), "term", "left_semi")
     counts = materialize(counts, "terms")  # used for the frequencies and for the weights
     total = documents.filter(F.col(text).isNotNull()).agg(F.count("*").alias("total"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.join(F.broadcast(total)).withColumn("idf", F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weighted = bm25_weights(counts).join(idf.select("term", "idf"), "term")
-    return asked.join(weighted, "term").groupBy("query_id", F.col(key).alias("id")).agg(
-        F.round(F.sum(F.col("idf") * F.col("val")), 6).alias("score")
-    )
+    weight = F.struct("term", (F.col("idf") * F.col("val")).alias("w"))
+    # a document has as many entries as it has terms of the queries
+    rows = bm25_weights(counts).join(idf.select("term", "idf"), "term").groupBy(F.col(key).alias("id")).agg(F.collect_list(weight).alias("terms"))
+    shared = spark.sparkContext.broadcast(asked.toArrow())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pc.unique(shared.value.column("query_id"))
+        places: dict[str, list[int]] = {}
+        at = {q: i for i, q in enumerate(names.to_pylist())}
+        for r in shared.value.to_pylist():
+            places.setdefault(r["term"], []).append(at[r["query_id"]])
+        rows_of = {t: np.array(q) for t, q in places.items()}
+        step = max(1, 4_000_000 // max(1, len(at)))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                lists = batch.column(1)
+                doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+                entries = lists.flatten()
+                terms = entries.field("term").dictionary_encode()
+                code, w = terms.indices.to_numpy(), entries.field("w").to_numpy()
+                order = np.argsort(code, kind="stable")
+                edges = np.searchsorted(code[order], np.arange(len(terms.dictionary) + 1))
+                score = np.zeros((len(at), batch.num_rows))
+                for i, term in enumerate(terms.dictionary.to_pylist()):
+                    own = order[edges[i] : edges[i + 1]]
+                    score[np.ix_(rows_of[term], doc[own])] += w[own]
+                score = np.round(score, 6)
+                keep = score > 0
+                if k is not None:
+                    keep &= best_of_batch(score, batch.column(0), k)
+                q, c = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(q)), batch.column(0).take(pa.array(c)), pa.array(score[q, c])], names=["query_id", "id", "score"]
+                )
+
+    kinds = (asked.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString())
+    return rows.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score double")
 
 
 def rrf(rankings: list[DataFrame], k: float = 60.0, first: int = 1) -> DataFrame:

@@ -23,6 +23,19 @@ def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[good], flat[good] / norm[good, None]
 
 
+def best_of_batch(score: np.ndarray, ids: pa.Array, k: int) -> np.ndarray:
+    """Marks the ``k`` best columns of each row, ties by id."""
+    if k >= score.shape[1]:
+        return np.ones(score.shape, dtype=bool)
+    place = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+    keep = np.zeros(score.shape, dtype=bool)
+    for own, marks in zip(score, keep, strict=True):
+        # all that tie with the k-th stay in question, then the smaller ids win
+        near = np.flatnonzero(own >= np.partition(own, -k)[-k])
+        marks[near[np.lexsort((place[near], -own[near]))[:k]]] = True
+    return keep
+
+
 def score_against(
     queries: DataFrame, vectors: DataFrame, query_id: str, id_column: str, vector: str, threshold: float | None = None, k: int | None = None
 ) -> DataFrame:
@@ -60,15 +73,8 @@ def score_against(
                 ids = batch.column(0).take(pa.array(own))
                 score = np.round(unit @ x.T, 6)
                 keep = np.ones(score.shape, dtype=bool) if threshold is None else score >= threshold
-                if k is not None and k < score.shape[1]:
-                    place = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-                    for i in range(len(score)):
-                        # all that tie with the k-th stay in question, then the smaller ids win
-                        near = np.flatnonzero(score[i] >= np.partition(score[i], -k)[-k])
-                        best = near[np.lexsort((place[near], -score[i][near]))[:k]]
-                        mask = np.zeros(score.shape[1], dtype=bool)
-                        mask[best] = True
-                        keep[i] &= mask
+                if k is not None:
+                    keep &= best_of_batch(score, ids, k)
                 q, c = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays(
                     [names.take(pa.array(q)), ids.take(pa.array(c)), pa.array(score[q, c])], names=["query_id", "id", "score"]

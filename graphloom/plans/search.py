@@ -95,13 +95,13 @@ sd as (select query_id, id, sum(sq.val * st.val)::bigint score from sq join st u
 """
 
 
-def _bm25(spark: SparkSession, base: str) -> DataFrame:
-    return ranking.bm25_scores(table(spark, base, "eval_item"), table(spark, base, "documents"), "item_id", "doc_id")
+def _bm25(spark: SparkSession, base: str, k: int) -> DataFrame:
+    return ranking.bm25_scores(table(spark, base, "eval_item"), table(spark, base, "documents"), "item_id", "doc_id", k=k)
 
 
 @query(f"with {_BM25} select query_id, id, score, rank from br where rank < 10")
 def bm25_topk(spark: SparkSession, base: str) -> DataFrame:
-    return ranking.ranked(_bm25(spark, base), 10)
+    return ranking.ranked(_bm25(spark, base, 10), 10)
 
 
 def _vectors_of(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -128,7 +128,7 @@ o as (select *, row_number() over (partition by query_id order by score desc, id
 )
 def rrf_hybrid(spark: SparkSession, base: str) -> DataFrame:
     """BM25 fused with plain word overlap."""
-    first = ranking.ranked(_bm25(spark, base), 20)
+    first = ranking.ranked(_bm25(spark, base, 20), 20)
     asked = ranking.term_counts(table(spark, base, "eval_item"), "item_id", "text").select(F.col("item_id").alias("query_id"), "term")
     have = ranking.term_counts(table(spark, base, "documents"), "doc_id", "text").select(F.col("doc_id").alias("id"), "term")
     overlap = asked.join(have, "term").groupBy("query_id", "id").agg(F.count("*").alias("score"))
