@@ -30,8 +30,18 @@ def get_session(app: str = "graphloom", master: str = "local[*]", **conf: str) -
     return session
 
 
+def importable_on_workers(spark: SparkSession) -> None:
+    """Put this package's folder on the workers' path, wherever the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One Parquet table of a data directory (a file or a folder of part files)."""
+    importable_on_workers(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
