@@ -12,7 +12,11 @@ document's score is that of its worst window.
 Before that the letters are folded: case and accents dropped, look-alike
 letters of the two alphabets and digits or signs inside words replaced by the
 letters they stand for, everything else (blanks, punctuation, invisible
-characters) removed and repeats of a letter collapsed.
+characters) removed and repeats of a letter collapsed. A word with masking
+signs between its letters (f**k) is read first: every sign stands for one
+letter, and of the words of the bad reviewed documents with that length and
+those visible letters the one the table finds worst takes its place. A word
+that none of them fits keeps its visible letters only.
 
 The labels are those of the reviewed documents (majority of the usable
 verdicts, ties left out); passages get theirs by multiple-instance learning:
@@ -32,9 +36,10 @@ extra columns are ignored; empty tables give an empty result.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +59,7 @@ LANDMARKS = 600
 ROUNDS = 3
 BACKGROUND = 4000
 DECAY = 0.6
-GAP = 1
+GAP = 2
 RIDGE = 1e-3
 FLOOR = -9.0
 SEED = 42
@@ -64,6 +69,10 @@ _CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
 # Characters that stand for a letter, by look.
 _LOOKS = dict(zip("авекмнорстухё", "abekmhopctyxe", strict=True)) | {"ь": "b", "і": "i", "ј": "j", "ѕ": "s", "й": "и", "ъ": "b"}
 _LEET = dict(zip("013457@$", "oieast" + "as", strict=True))
+# Signs that stand for one hidden letter each, between letters.
+_MASKS = "*＊∗•#"
+_MASKED = re.compile(rf"[^\W_]+(?:[{_MASKS}]+[^\W_]+)+")
+_WORD = re.compile(r"[^\W\d_]{3,}")
 _BITS = 6
 #: (offsets of the second to fourth letter, discount)
 _PATTERNS = [
@@ -151,25 +160,60 @@ def window_sums(places: np.ndarray) -> np.ndarray:
     return out
 
 
+def _shape(word: str) -> list[int]:
+    """Letter number of each place of a word, 0 at a masking sign."""
+    codes = [min(ord(c), 0x2FFF) for c in word]
+    return [0 if c in _MASKS else int(_TABLE[n] or _INSIDE[n]) for c, n in zip(word, codes, strict=True)]
+
+
+def _readings(texts: list[str], table: np.ndarray) -> dict[tuple[int, int, int], list[str]]:
+    """The words of ``texts`` that the table speaks against, worst first, by length, first and last letter."""
+    words = sorted({w for t in texts for w in _WORD.findall(t.lower())})
+    out: dict[tuple[int, int, int], list[str]] = {}
+    if not words:
+        return out
+    letters, starts = fold(words)
+    sums = np.add.reduceat(place_scores(letters, table), starts)
+    for i in np.argsort(-sums, kind="stable").tolist():
+        if sums[i] <= 0:
+            break
+        shape = _shape(words[i])
+        out.setdefault((len(shape), shape[0], shape[-1]), []).append(words[i])
+    return out
+
+
 @dataclass
 class Model:
-    """codes: the landmarks' subsequences; values: their weights; bias and threshold of the decision."""
+    """codes: the landmarks' subsequences; values: their weights; bias and threshold of the decision; readings of masked words."""
 
     codes: np.ndarray
     values: np.ndarray
     bias: float
     threshold: float
+    readings: dict[tuple[int, int, int], list[str]] = field(default_factory=dict)
 
     def table(self) -> np.ndarray:
         out = np.zeros(1 << (4 * _BITS), dtype=np.float32)
         out[self.codes] = self.values
         return out
 
+    def unmask(self, text: str) -> str:
+        """The text with each masked word replaced by the worst word that fits it."""
+
+        def read(match: re.Match[str]) -> str:
+            shape = _shape(match.group())
+            for word in self.readings.get((len(shape), shape[0], shape[-1]), ()):
+                if all(a in (0, b) for a, b in zip(shape, _shape(word), strict=True)):
+                    return word
+            return match.group()
+
+        return _MASKED.sub(read, text) if any(c in text for c in _MASKS) else text
+
     def scores(self, texts: list[str], table: np.ndarray) -> np.ndarray:
         """The worst window of each text."""
         if not texts:
             return np.empty(0)
-        letters, starts = fold(texts)
+        letters, starts = fold([self.unmask(t) for t in texts])
         sums = window_sums(place_scores(letters, table))
         worst = np.maximum.reduceat(sums, starts)
         some = np.maximum.reduceat(letters, starts) > 0
@@ -342,6 +386,12 @@ def _threshold(scores: np.ndarray, bad: np.ndarray) -> float:
     return float((scores[order[top]] + below) / 2)
 
 
+def _model(texts: list[str], bad: np.ndarray, threshold: float) -> Model:
+    model = Model(*_fit(texts, bad), threshold)
+    model.readings = _readings([texts[i] for i in np.flatnonzero(bad)], model.table())
+    return model
+
+
 def labelled(documents: DataFrame, reviews: DataFrame, most: int = MAX_LABELLED, most_chars: int = MAX_CHARS) -> DataFrame:
     """(doc_id, text, bad) of the reviewed documents with a majority verdict: a bounded number, of bounded total length."""
     verdict = tidy(F.col("verdict"))
@@ -385,9 +435,9 @@ def fit(documents: DataFrame, reviews: DataFrame, most: int = MAX_LABELLED) -> M
     threshold = 0.0
     inner, outer = np.flatnonzero(~held), np.flatnonzero(held)
     if min(y[inner].sum(), (~y[inner]).sum()) >= 2 and y[outer].sum() >= 5:
-        model = Model(*_fit([texts[i] for i in inner], y[inner]), 0.0)
+        model = _model([texts[i] for i in inner], y[inner], 0.0)
         threshold = _threshold(model.scores([texts[i] for i in outer], model.table()), y[outer])
-    return Model(*_fit(texts, y), threshold)
+    return _model(texts, y, threshold)
 
 
 def score_abuse(documents: DataFrame, model: Model | None) -> DataFrame:

@@ -228,3 +228,23 @@ def test_without_labels_nothing_is_found(spark):
     v = spark.createDataFrame([], "doc_id long, verdict string")
     assert abuse.fit(d, v) is None
     assert abuse.score_abuse(d, None).filter("flagged").count() == 0
+
+
+def test_masked_words_score_as_the_words_they_hide(spark):
+    rows = corpus(240, 2)
+    d = spark.createDataFrame([(i, t, 0.0) for i, t, _ in rows], "doc_id long, text string, score double")
+    v = spark.createDataFrame([(i, "abusive" if bad else "clean") for i, _, bad in rows], "doc_id long, verdict string")
+    model = abuse.fit(d, v)
+    plain = "so you people are vermin and should leave"
+    masked = [plain.replace("vermin", m).replace("people", p) for m in ("v****n", "v*rm*n", "V****N", "v＊＊＊＊n") for p in ("people", "p****e")]
+    assert np.allclose(model.scores([plain, *masked], model.table()), model.scores([plain], model.table())[0])
+    # what no reviewed word fits, and signs beside words, stay
+    assert model.unmask("q***z is *bold* and 2 * 3") == "q***z is *bold* and 2 * 3"
+
+
+def test_two_inserted_letters_are_bridged():
+    folded = lambda text: abuse.fold([text])[0]
+    codes = lambda text: {int(c) for code, _ in abuse._features(folded(text)) for c in code}
+    plain = int(next(abuse._features(folded("worm")))[0][0])
+    assert all(plain in codes(t) for t in ("worm", "wxorm", "wxoyrm", "woxyrm", "w x o r y m"))
+    assert plain not in codes("wxoyrzm")
