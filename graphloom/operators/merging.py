@@ -7,8 +7,14 @@ ordered by an explicit position, as a shuffle keeps no order of its own.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from graphloom.functions.scalar import SENTENCE_BREAK, squeeze
 
@@ -129,6 +135,79 @@ def merge_relations(rows: DataFrame, pos: str = "pos") -> DataFrame:
     )
 
 
+_SPACE = re.compile(r"\s+", re.ASCII)  # as the regular expressions of the JVM
+_BREAK = re.compile(SENTENCE_BREAK, re.ASCII)
+
+
+def _united(new: dict, stored: dict, firsts: list[str], sets: list[str]) -> dict:
+    """The policy of :func:`merge_entities` and :func:`merge_relations` for two rows."""
+    ranked = [new, stored] if new["rich"] >= stored["rich"] else [stored, new]
+    out = {c: ranked[0][c] for c in firsts}
+    seen: set[str] = set()
+    parts = []
+    for row in ranked:
+        for part in _BREAK.split(row["description"] or ""):
+            clean = _SPACE.sub(" ", part).strip(" ")
+            if clean and clean.lower() not in seen:
+                seen.add(clean.lower())
+                parts.append(clean)
+    out["description"] = " ".join(parts)
+    for c in sets:
+        out[c] = sorted({x for row in ranked for x in row[c] or () if x is not None})
+    if "clusters" in stored:
+        found: dict = {}
+        for row in ranked:
+            for x in row["clusters"] or ():
+                found.setdefault(x and tuple(x.values()), x)
+        out["clusters"] = list(found.values())
+    if "relation_strength" in stored:
+        known = [row["relation_strength"] for row in ranked if row["relation_strength"] is not None]
+        out["relation_strength"] = sum(known) / len(known) if known else None
+    out["rich"] = len(out["source_chunk_id"])
+    return out
+
+
+def _fold(rows: DataFrame, order: str, firsts: list[str], sets: list[str], other: str) -> DataFrame:
+    names = ["id", *firsts, "description", *sets, other]
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    target = T.StructType([T.StructField(c, kinds[c]) for c in names])
+    fields = to_arrow_schema(target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict | None = None
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                row["rich"] = len(row["source_chunk_id"] or ())
+                if state is not None and state["id"] == row["id"]:
+                    state = {"id": row["id"], **_united(row, state, firsts, sets)}
+                    continue
+                if state is not None:
+                    done.append(state)
+                # one version is united with nothing: the form is that of a merged row
+                rich = row["rich"]
+                blank = dict.fromkeys(row) | {"rich": -1}
+                state = {"id": row["id"], **_united(row, blank, firsts, sets), "rich": rich}
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in names} for r in done], schema=fields)
+        if state is not None:
+            yield pa.RecordBatch.from_pylist([{c: state[c] for c in names}], schema=fields)
+
+    # One version at a time: a task holds the merged row of the id at hand, however many versions there are.
+    sorted_rows = rows.filter("id is not null").select(*names, order).repartition("id").sortWithinPartitions("id", order)
+    return sorted_rows.mapInArrow(run, target)
+
+
+def fold_entities(rows: DataFrame, order: str) -> DataFrame:
+    """All versions of each id merged one after another by ``order``, as so many calls of :func:`merge_entities` do."""
+    return _fold(rows, order, ["entity_name", "entity_type"], ["source_chunk_id", "documents_id"], "clusters")
+
+
+def fold_relations(rows: DataFrame, order: str) -> DataFrame:
+    """As :func:`fold_entities`; each step takes the mean of the stored strength and the new one."""
+    firsts = ["subject_id", "object_id", "subject_name", "object_name", "relation_type"]
+    return _fold(rows, order, firsts, ["source_chunk_id"], "relation_strength")
+
+
 def duplicate_ids(rows: DataFrame, key: str = "id") -> DataFrame:
     return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("copies")).filter("copies > 1")
 

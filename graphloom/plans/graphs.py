@@ -127,16 +127,6 @@ def group_relations(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def _versions(rows: DataFrame) -> DataFrame:
-    """The first (stored) and the last (new) row of each id; ``pos`` puts the new one first."""
-    names = [c for c in rows.columns if c != "id"]
-    ends = rows.filter("id is not null").groupBy("id").agg(
-        F.max_by(F.struct(*names), "rec_no").alias("new"), F.min_by(F.struct(*names), "rec_no").alias("old")
-    )
-    new = ends.select("id", F.lit(0).alias("pos"), "new.*")
-    return new.unionAll(ends.filter("new.rec_no <> old.rec_no").select("id", F.lit(1), "old.*"))
-
-
 def _merged_sql(name: str, extra: str) -> str:
     split = (
         "list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(description, ''), '\\n+', chr(31), 'g'),"
@@ -163,7 +153,7 @@ select g.*, coalesce(d.description, '') description from g left join d using (id
     )
 )
 def merge_entities(spark: SparkSession, base: str) -> DataFrame:
-    merged = merging.merge_entities(_versions(table(spark, base, "kg_entity")))
+    merged = merging.fold_entities(table(spark, base, "kg_entity"), "rec_no")
     return merged.select(
         "id", "entity_name", "entity_type", "description",
         F.array_join("source_chunk_id", ",").alias("chunks"), F.array_join("documents_id", ",").alias("documents"),
@@ -177,7 +167,7 @@ def merge_entities(spark: SparkSession, base: str) -> DataFrame:
     )
 )
 def merge_relations(spark: SparkSession, base: str) -> DataFrame:
-    merged = merging.merge_relations(_versions(table(spark, base, "kg_relation")))
+    merged = merging.fold_relations(table(spark, base, "kg_relation"), "rec_no")
     return merged.select(
         "id", "subject_name", "relation_type", "description",
         F.round("relation_strength", 6).alias("relation_strength"), F.array_join("source_chunk_id", ",").alias("chunks"),

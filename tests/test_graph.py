@@ -178,3 +178,39 @@ def test_size_batches_fold_in_order(spark):
     got = {r["n"]: r["batch"] for r in index.size_batches(rows, "g", "n", "t", 5).collect()}
     assert got == {1: 0, 2: 0, 3: 1, 4: 2}
     assert F is not None
+
+
+def test_all_versions_of_an_id_are_merged_in_order(spark, tmp_path):
+    from graphloom.plans import graphs
+
+    rng = random.Random(4)
+    words = ["One.", "two.", "ONE.", "Three", "Four!", "two.\n\nFive", "  "]
+    pick = lambda pool: [rng.choice(pool) for _ in range(rng.randrange(4))] if rng.random() < 0.9 else None
+    text = lambda: " ".join(pick(words) or []) if rng.random() < 0.9 else None
+    groups = [(f"i{g}", n) for g, n in enumerate([1, 1, 2, 2, 3, 3, 4, 7, 12])]
+    ents = [(i, f"N{rng.random()}", "T", text(), pick(["c1", "c2", "c3", "c4", None]), pick(["d1", "d2", None]), pick([(0, 1), (0, 2), (1, 5)])) for i, n in groups for _ in range(n)]
+    rels = [(i, "a", "b", f"N{rng.random()}", "B", "T", text(), rng.choice([1.0, 4.0, 7.5, None]), pick(["c1", "c2", "c3", None])) for i, n in groups for _ in range(n)]
+    e_schema = "id string, entity_name string, entity_type string, description string, source_chunk_id array<string>, documents_id array<string>, clusters array<struct<level:int,cluster_id:int>>"
+    r_schema = "id string, subject_id string, object_id string, subject_name string, object_name string, relation_type string, description string, relation_strength double, source_chunk_id array<string>"
+    for name, rows, schema, one in (("kg_entity", ents, e_schema, merging.merge_entities), ("kg_relation", rels, r_schema, merging.merge_relations)):
+        numbered = [(k, *r) for k, r in enumerate(rows)]
+        rng.shuffle(numbered)
+        spark.createDataFrame([*numbered, (999, None, *[None] * (len(rows[0]) - 1))], f"rec_no long, {schema}").coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        # the merge of two rows, version after version
+        state = {}
+        for turn in range(12):
+            new = [r for k, r in sorted((x[0], x[1:]) for x in numbered) if sum(1 for j, y in sorted((x[0], x[1:]) for x in numbered) if y[0] == r[0] and j < k) == turn]
+            pairs = [(0, *r) for r in new] + [(1, *state[r[0]]) for r in new if r[0] in state]
+            columns = schema.split(", ")
+            merged = one(spark.createDataFrame(pairs, f"pos int, {schema}")).select(*[c.split()[0] for c in columns]).collect()
+            raw = {r[0]: r for r in new}
+            state |= {r["id"]: tuple(r) if r["id"] in state or turn else raw[r["id"]] for r in merged}
+        whole = {r["id"]: r for r in (merging.fold_entities if name == "kg_entity" else merging.fold_relations)(spark.read.parquet(str(tmp_path / f"{name}.parquet")), "rec_no").collect()}
+        at = schema.split(", ")
+        for i, n in groups:
+            if n > 1:
+                assert [whole[i][c.split()[0]] for c in at] == list(state[i]), (name, i)
+        told = {r["id"]: r for r in getattr(graphs, "merge_entities" if name == "kg_entity" else "merge_relations")(spark, str(tmp_path)).collect()}
+        assert set(told) == {i for i, _ in groups}
+        every = {i: sorted({c for r in rows if r[0] == i for c in r[4 if name == "kg_entity" else 8] or () if c}) for i, _ in groups}
+        assert {i: r["chunks"] for i, r in told.items()} == {i: ",".join(c) for i, c in every.items()}
