@@ -2,7 +2,8 @@
 
 Merge-and-rematch resolution. Spellings are read into profiles (see
 ``spelling``), and profiles that could agree meet in blocks: cores that share a
-deletion key, or spellings that a record key (an entity's id, a relation's
+deletion key or are two edits apart (found over keys with two letters deleted,
+then compared), or spellings that a record key (an entity's id, a relation's
 subject or object id) holds together, are linked, and the linked cores form a
 block by iterative label propagation over DataFrames. Within a block matched
 profiles merge into one that has the union of their spellings, cores, given
@@ -31,15 +32,18 @@ are read whole; ties are broken by code point order.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import normal_type, tidy
 from graphloom.llm.arrow import map_batches
-from graphloom.llm.spelling import Reading, Vocabulary, canon, core_gap, core_keys, read_name, rests_agree, tokens
+from graphloom.llm.spelling import Reading, Vocabulary, canon, core_gap, core_keys, near_keys, read_name, rests_agree, tokens
 from graphloom.session import drop_materialized, materialize
 
 #: A word is frequent if it occurs in this share of the spellings, and in FEWEST of them.
@@ -105,6 +109,50 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         before = state
 
 
+def near_pairs(cores: DataFrame) -> DataFrame:
+    """(a, b): the pairs of different ``core`` that ``core_gap`` accepts."""
+
+    def keys(columns):
+        out: dict[str, list] = {"core": columns["core"].to_pylist(), "key": []}
+        for core in out["core"]:
+            out["key"].append(sorted(near_keys(core)))
+        return out
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gap = lru_cache(maxsize=200_000)(core_gap)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # the rows of the last key so far
+
+        def found(key: np.ndarray, core: np.ndarray) -> pa.RecordBatch:
+            ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+            starts = np.concatenate(([0], ends[:-1]))
+            pairs = set()
+            for lo, hi in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+                group = sorted(set(core[lo:hi]))
+                pairs |= {(a, b) for n, a in enumerate(group) for b in group[n + 1 :] if gap(a, b) <= 2}
+            a, b = zip(*sorted(pairs), strict=True) if pairs else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+
+        for batch in batches:
+            key, core = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            if not len(key):
+                continue
+            cut = int(np.searchsorted(key, key[-1]))
+            if held and (cut or held[0][0][0] != key[-1]):
+                held.append((key[:cut], core[:cut]))
+                yield found(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held = []
+            elif cut:
+                yield found(key[:cut], core[:cut])
+            held.append((key[cut:], core[cut:]))
+        if held:
+            yield found(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    keyed = map_batches(cores.select("core").distinct(), "core string, key array<string>", keys)
+    # keys travel as numbers: those that coincide by chance are told apart by the comparison
+    keyed = keyed.select(F.explode("key").alias("key"), "core").select(F.xxhash64("key").alias("key"), "core")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a string, b string").distinct()
+
+
 @dataclass
 class Profile:
     """Merged spellings: members, cores with their readings, record keys."""
@@ -231,6 +279,9 @@ def entities_of_names(entities: DataFrame, relations: DataFrame) -> DataFrame:
     # shuffled by name already; reading is the costly part, so the few thousand rows a task are spread out
     read_names = materialize(map_batches(by_name.select("name", "kinds", "keys"), schema, read), "readings")
     links = read_names.select("core", F.explode(F.concat("links", "keys")).alias("link")).distinct()
+    pair = F.array("a", "b")
+    near = near_pairs(read_names).select(F.explode(pair).alias("core"), F.concat_ws("\u0000", F.lit("near"), "a", "b").alias("link"))
+    links = links.unionAll(near)
     # A link that a single core has joins nothing.
     shared = links.groupBy("link").agg(F.count("*").alias("n")).filter("n > 1").select("link")
     links = materialize(links.join(shared, "link"), "links")

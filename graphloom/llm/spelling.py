@@ -294,6 +294,15 @@ def core_keys(core: str) -> list[str]:
     return deletions(core) + ([f"~{k}" for k in deletions(full)] if full != core else [f"~{core}"])
 
 
+def near_keys(core: str) -> set[str]:
+    """Any two cores that ``core_gap`` accepts share one of these; not all that share one are accepted."""
+    out = level = {core, spelled(core)}
+    for _ in range(2 if len(core) >= 7 else 1 if len(core) >= 5 else 0):
+        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
+        out = out | level
+    return out
+
+
 def core_gap(a: str, b: str) -> int:
     """Edits between two cores, by sounds or by letters; 3 if too many for their length."""
     most = 2 if min(len(a), len(b)) >= 7 else 1 if min(len(a), len(b)) >= 5 else 0

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from graphloom.llm import names, neighbours
-from graphloom.llm.spelling import Vocabulary, canon, distance, read_name, rests_agree
+from graphloom.llm.spelling import Vocabulary, canon, core_gap, core_keys, distance, near_keys, read_name, rests_agree
 
 VEC = "vec_no long, __vector__ array<float>, cosine double"
 
@@ -135,3 +135,19 @@ def test_split_blocks_meet_again_over_keys(spark, monkeypatch):
 
 def test_no_names(spark):
     assert groups(spark, [], []) == []
+
+
+def test_two_errors_at_different_places_meet(spark):
+    # two letters replaced, or two put in, far apart: no key with one letter deleted is shared, and no third spelling bridges them
+    for other in ("Zumiprogtal", "Zunixprogdral", "Zniprogrl"):
+        a, b = (read_name(f"Nicholas {x}", VOCABULARY).core for x in ("Zuniprogral", other))
+        assert core_gap(a, b) == 2 and not set(core_keys(a)) & set(core_keys(b)) and near_keys(a) & near_keys(b)
+        e = [("e1", "Nicholas Zuniprogral", "PERSON", None, None), ("e2", f"Nicholas {other}", "PERSON", None, None)]
+        assert groups(spark, e, []) == [sorted(["Nicholas Zuniprogral", f"Nicholas {other}"])]
+
+
+def test_near_pairs_are_those_of_the_full_comparison(spark):
+    rng = np.random.default_rng(5)
+    cores = {"".join(rng.choice(list("abc"), rng.integers(3, 9))) for _ in range(150)} | {"zuniprogral", "zumiprogtal"}
+    found = {tuple(r) for r in names.near_pairs(spark.createDataFrame([(c,) for c in sorted(cores)], "core string")).collect()}
+    assert found == {(a, b) for a in cores for b in cores if a < b and core_gap(a, b) <= 2}
