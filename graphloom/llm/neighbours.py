@@ -3,7 +3,7 @@
 Inverted file with product-quantised residuals: coarse centroids and residual
 codebooks are fitted on a bounded sample, every vector is indexed under its
 nearest centroid with ``SUBSPACES`` bytes of codes. Each cell's vectors probe
-the ``PROBES`` cells nearest to it: the codes (some thirty bytes a vector) travel
+the ``PROBES`` (or ``WIDE``) cells nearest to it: the codes (some thirty bytes a vector) travel
 to the probing cells, the query vectors stay where they are. Scores come from
 asymmetric distance tables (query against codewords), and as each vector's
 reconstruction error is stored, candidates that cannot reach ``min_cosine`` are
@@ -40,6 +40,8 @@ SAMPLE = 20_000
 #: Centroids per square root of the collection, and their bounds.
 DENSITY, FEWEST, MOST = 2.0, 1, 4096
 PROBES = 24
+#: Cells probed where no floor of 0.8 or more keeps the neighbours close.
+WIDE = 144
 SUBSPACES, CODEWORDS = 16, 256
 DEPTH = 64
 BLOCK, SEGMENT = 1024, 65_536
@@ -155,11 +157,11 @@ def nearest_neighbours(
     vector_column: str = "__vector__",
     dim: int = 64,
     k: int = 5,
-    min_cosine: float = 0.8,
-    probes: int = PROBES,
+    min_cosine: float = -1.0,
+    probes: int | None = None,
     sample: int = SAMPLE,
 ) -> DataFrame:
-    """(id, neighbour, cosine): for every usable vector its ``k`` most similar others with at least ``min_cosine``.
+    """(id, neighbour, cosine): for every usable vector its ``k`` most similar others with at least ``min_cosine`` (any, if not given).
 
     A direction's members share their neighbours, so a copy held by a third of
     all rows yields ``k`` rows for each of them and no more.
@@ -193,6 +195,7 @@ def nearest_neighbours(
     )
     # One row per cell, MOST at most.
     sizes = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}
+    probes = probes or (PROBES if min_cosine >= 0.8 else WIDE)
     near = codec.probes(min(probes, len(codec.centres)))
     blocks, segments, probed_by = {}, {}, {}
     for cell, size in sizes.items():

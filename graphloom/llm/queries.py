@@ -12,7 +12,7 @@ from graphloom.session import table
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
-    return neighbours.neighbour_pairs(p1_neighbours(spark, base))
+    return neighbours.neighbour_pairs(neighbours.nearest_neighbours(table(spark, base, "vdb_entity"), min_cosine=0.8))
 
 
 def p1_neighbours(spark: SparkSession, base: str) -> DataFrame:

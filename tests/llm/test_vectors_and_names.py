@@ -151,3 +151,14 @@ def test_near_pairs_are_those_of_the_full_comparison(spark):
     cores = {"".join(rng.choice(list("abc"), rng.integers(3, 9))) for _ in range(150)} | {"zuniprogral", "zumiprogtal"}
     found = {tuple(r) for r in names.near_pairs(spark.createDataFrame([(c,) for c in sorted(cores)], "core string")).collect()}
     assert found == {(a, b) for a in cores for b in cores if a < b and core_gap(a, b) <= 2}
+
+
+def test_without_a_floor_every_vector_has_its_neighbours(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=64).astype(np.float32).tolist(), 0.0) for i in range(400)]  # none has another at 0.8
+    found = neighbours.nearest_neighbours(spark.createDataFrame(rows, VEC)).collect()
+    assert len(found) == 5 * len(rows)
+    got = {(min(r["id"], r["neighbour"]), max(r["id"], r["neighbour"])) for r in found}
+    want = brute([r[:2] for r in rows], least=-1)
+    assert len(got & want) >= 0.98 * len(want)
+    assert neighbours.nearest_neighbours(spark.createDataFrame(rows, VEC), min_cosine=0.8).count() == 0
