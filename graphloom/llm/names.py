@@ -1,39 +1,36 @@
 """Variant spellings of names typed by people (problem 2).
 
-Merge-and-rematch resolution. Spellings are read into profiles (see
-``spelling``), and profiles that could agree meet in blocks: cores that share a
-deletion key or are two edits apart (found over keys with two letters deleted,
-then compared), or spellings that a record key (an entity's id, a relation's
-subject or object id) holds together, are linked, and the linked cores form a
-block by iterative label propagation over DataFrames. Within a block matched
-profiles merge into one that has the union of their spellings, cores, given
-names and initials; merged profiles are matched again until nothing merges.
-Outside, the merged profiles re-enter blocking by their record keys, until no
-key holds two profiles any more.
-
-Two profiles match when their cores are up to two typing errors apart and their
-rests agree: given names equal, shortened or initialled in order, words for
-kinds of things equal, mistyped or abbreviated. Fewer words never outvote more:
-a profile that agrees with several profiles which contradict one another (the
-initials of two cousins) merges with none of them, unless a record key, a closer
-core or a further initial decides.
-
-Blocks are bounded by splitting: one with more than ``MOST`` spellings is cut by
-the first letter of the rest, which agreeing profiles share. Frequent words are
-learned from all spellings (those in at least ``SHARE`` of them); the number of
-such words is bounded by that share.
-
-Defined results: null and blank names name nothing; null or blank record keys
-hold nothing together; a spelling stored in many rows counts once; extra
-columns are ignored; empty tables give an empty result; spellings of any length
-are read whole; ties are broken by code point order.
+Merge-and-rematch resolution over DataFrames. Every distinct spelling is read
+into a profile (see ``spelling``); equal readings are one profile from the
+start. Profiles meet in blocks: they share a core, or have cores up to two typing
+errors apart (:func:`near_pairs`), and a letter of their rests. Pairs that agree
+are links. In each round a profile proposes to the fullest of its best partners;
+it merges unless its partners contradict one another or the partner has a rival
+at least as near that contradicts it (the initials of two cousins). A merged
+profile has all cores of both, and the fuller of every given name or initial;
+its links are compared anew, so that it may now tell apart what its parts could
+not. When no link merges any more the merged profiles re-enter blocking with
+their united cores and rests; it ends once that leads to no further merge.
+
+Nothing but the names is proof: record ids and the ids relations use are not
+read. Entity types settle whether a spelling names a person, and which of the
+common words are given names; which words are common is learned from all
+spellings (those in at least ``SHARE`` of them, so that their number is
+bounded).
+
+No group reaches one task whole: blocks of more than ``TILE`` profiles are cut
+into pairs of parts, a profile and those that merge into it are folded one after
+another, and every table of a round is written to the shared folder.
+
+Defined results: null names and names without letters or digits name nothing; a
+spelling stored in many rows counts once; null, blank and unknown types say
+nothing; extra columns are ignored; empty tables give an empty result; spellings
+of any length are read whole; ties are broken by code point order.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -41,72 +38,86 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalar import normal_type, tidy
+from graphloom.functions.scalar import normal_type
 from graphloom.llm.arrow import map_batches
-from graphloom.llm.spelling import Reading, Vocabulary, canon, core_gap, core_keys, near_keys, read_name, rests_agree, tokens
+from graphloom.llm.spelling import Alternative, Vocabulary, core_gap, fit, near_keys, read_name, rest_keys, unite, words_of
 from graphloom.session import drop_materialized, materialize
 
-#: A word is frequent if it occurs in this share of the spellings, and in FEWEST of them.
+#: A word is common if it occurs in this share of the spellings, and in FEWEST of them.
 SHARE, FEWEST = 0.0006, 12
-#: Spellings in one block.
-MOST = 4000
+#: Typed spellings a word must stand in before their types say something of it.
+TYPED = 3
+#: Profiles of a block that one task compares with one another.
+TILE = 2000
+
+_ALTS = "array<struct<cores:array<string>,rest:array<string>,person:boolean>>"
+_PROFILE = f"pid string, full int, alts {_ALTS}"
 
 
 def mentions(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """(name, key, kind): distinct spellings with the record keys and types they are stored with."""
+    """(name, kinds): distinct spellings with the entity types they are stored with."""
     none = F.lit(None).cast("string")
     parts = [
-        entities.select(F.col("entity_name").alias("name"), tidy(F.col("id")).alias("key"), F.upper(normal_type(F.col("entity_type"))).alias("kind")),
-        relations.select(F.col("subject_name").alias("name"), tidy(F.col("subject_id")).alias("key"), none.alias("kind")),
-        relations.select(F.col("object_name").alias("name"), tidy(F.col("object_id")).alias("key"), none.alias("kind")),
+        entities.select(F.col("entity_name").alias("name"), F.upper(normal_type(F.col("entity_type"))).alias("kind")),
+        relations.select(F.col("subject_name").alias("name"), none.alias("kind")),
+        relations.select(F.col("object_name").alias("name"), none.alias("kind")),
     ]
     rows = parts[0].unionAll(parts[1]).unionAll(parts[2])
     blank = r"(?U)^[^\p{L}\p{N}]*$"
     return (
         rows.filter(F.col("name").isNotNull() & ~F.regexp_like("name", F.lit(blank)))
-        .withColumn("key", F.when(F.col("key") != "", F.col("key")))
         .withColumn("kind", F.when(F.col("kind").isNotNull() & ~F.col("kind").isin("UNKNOWN", ""), F.col("kind")))
-        .groupBy("name", "key")
-        .agg(F.collect_set("kind").alias("kinds"))  # a handful of types
+        .distinct()
+        .groupBy("name")
+        .agg(F.sort_array(F.collect_set("kind")).alias("kinds"))  # a handful of types
     )
 
 
-def _frequent(names: DataFrame) -> frozenset[str]:
-    total = names.count()
+def _common(names: DataFrame) -> dict[str, float | None]:
+    """The common words with their share of persons; fewer than 1 / SHARE words a name's length reach the driver."""
 
     def words(columns):
-        out = []
-        for name in columns["name"].to_pylist():
-            out += {canon(t.rstrip(".")) for t in tokens(name)}
-        return {"word": [w for w in out if len(w) > 1]}
+        out: dict[str, list] = {"word": [], "typed": [], "person": []}
+        for name, kinds in zip(columns["name"].to_pylist(), columns["kinds"].to_pylist(), strict=True):
+            for w in {w.form for w in words_of(name) if len(w.form) > 1}:
+                out["word"].append(w)
+                out["typed"].append(int(bool(kinds)))
+                out["person"].append(int("PERSON" in kinds))
+        return out
 
-    least = max(FEWEST, int(SHARE * total))
-    rows = map_batches(names.select("name"), "word string", words).groupBy("word").count().filter(F.col("count") >= least)
-    return frozenset(r["word"] for r in rows.collect())
+    least = max(FEWEST, int(SHARE * names.count()))
+    counted = map_batches(names, "word string, typed int, person int", words).groupBy("word")
+    rows = counted.agg(F.count("*").alias("n"), F.sum("typed").alias("typed"), F.sum("person").alias("person")).filter(F.col("n") >= least)
+    return {r["word"]: r["person"] / r["typed"] if r["typed"] >= TYPED else None for r in rows.collect()}
 
 
-def components(links: DataFrame, left: str, right: str) -> DataFrame:
-    """(right, label): connected components of a two-sided graph, labelled by the smallest ``right`` in them.
+def _pack(alts: tuple[Alternative, ...]) -> list[dict]:
+    return [{"cores": list(a.cores), "rest": list(a.rest), "person": a.person} for a in alts]
 
-    Each step gives both sides the least label of their neighbours and is
-    written to the shared folder; it ends when no label falls.
-    """
-    labels = links.select(right).distinct().withColumn("label", F.col(right))
-    labels = materialize(labels, "labels")
-    before = None
-    while True:
-        low = links.join(labels, right).groupBy(left).agg(F.min("label").alias("low"))
-        new = links.join(low, left).groupBy(right).agg(F.min("low").alias("label"))
-        # one jump along the labels: the label's own label may be lower
-        jump = new.select(F.col(right).alias("label"), F.col("label").alias("next"))
-        new = new.join(jump, "label", "left").select(right, F.least("label", "next").alias("label"))
-        old, labels = labels, materialize(new, "labels")
-        drop_materialized(old)
-        # labels only fall, so an unchanged checksum means an unchanged labelling
-        state = labels.select(F.sum(F.xxhash64(right, "label").cast("decimal(38,0)"))).first()[0]
-        if state == before:
-            return labels
-        before = state
+
+def _unpack(rows: list[dict]) -> tuple[Alternative, ...]:
+    return tuple(Alternative(tuple(r["cores"]), tuple(r["rest"]), r["person"]) for r in rows)
+
+
+def _full(alts: tuple[Alternative, ...]) -> int:
+    return max((a.full() for a in alts), default=0)
+
+
+def _sorted_groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[dict]]:
+    """Runs of rows that are equal in the first ``width`` columns, out of sorted batches."""
+    held: list[dict] = []
+    last = None
+    for batch in batches:
+        names = batch.schema.names[:width]
+        for row in batch.to_pylist():
+            key = tuple(row[n] for n in names)
+            if key != last and held:
+                yield held
+                held = []
+            last = key
+            held.append(row)
+    if held:
+        yield held
 
 
 def near_pairs(cores: DataFrame) -> DataFrame:
@@ -153,164 +164,226 @@ def near_pairs(cores: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a string, b string").distinct()
 
 
-@dataclass
-class Profile:
-    """Merged spellings: members, cores with their readings, record keys."""
+_LINK = "a string, b string, gap int, words int, full_a int, full_b int"
 
-    members: set[int]
-    cores: set[str]
-    readings: set[Reading]
-    keys: set[str] = field(default_factory=set)
 
-    def full(self) -> int:
-        """How much the profile says: letters of its fullest rest."""
-        return max((sum(map(len, r.rest)) for r in self.readings), default=0)
+def _links(rows: list[tuple[str, tuple[Alternative, ...], str, tuple[Alternative, ...]]]) -> pa.RecordBatch:
+    """The pairs that agree, the smaller id first."""
+    out: dict[str, list] = {c.split()[0]: [] for c in _LINK.split(", ")}
+    for p, x, q, y in rows:
+        if q < p:
+            p, x, q, y = q, y, p, x
+        own = fit(x, y)
+        if own is not None:
+            for c, v in zip(out, (p, q, own[0], own[1], _full(x), _full(y)), strict=True):
+                out[c].append(v)
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
 
-def _agree(a: Profile, b: Profile) -> tuple[int, int] | None:
-    """(gap between the cores, minus the words that speak for it) if the profiles can be one entity, else None.
+def block_links(profiles: DataFrame, near: DataFrame) -> DataFrame:
+    """Links of all pairs of profiles that agree: blocks by core (or pair of near cores) and letter of the rest."""
 
-    Every reading of one must agree with every reading of the other: a merged
-    profile's middle name speaks against a cousin that its bare spellings would
-    accept.
+    def keys(columns):
+        out: dict[str, list] = {"pid": [], "core": [], "letters": [], "alts": []}
+        for pid, alts in zip(columns["pid"].to_pylist(), columns["alts"].to_pylist(), strict=True):
+            letters: dict[str, set[str]] = {}
+            for a in alts:
+                for core in a["cores"]:
+                    letters.setdefault(core, set()).update(rest_keys(tuple(a["rest"])))
+            for core, own in letters.items():
+                for c, v in zip(out, (pid, core, sorted(own), alts), strict=True):
+                    out[c].append(v)
+        return out
+
+    keyed = map_batches(profiles.select("pid", "alts"), f"pid string, core string, letters array<string>, alts {_ALTS}", keys)
+    # side 2: every pair of a core's profiles; 0 and 1: the profiles of two near cores with one another
+    same = F.struct(F.lit(None).cast("string").alias("other"), F.lit(2).alias("side"))
+    around = near.select(F.col("a").alias("core"), F.struct(F.col("b").alias("other"), F.lit(0).alias("side")).alias("link")).unionAll(
+        near.select(F.col("b").alias("core"), F.struct(F.col("a").alias("other"), F.lit(1).alias("side")).alias("link"))
+    )
+    rows = keyed.withColumn("link", same).unionByName(keyed.join(around, "core"))
+    pair = F.array_sort(F.array("core", F.coalesce("link.other", "core")))
+    rows = rows.select("pid", "alts", F.col("link.side").alias("side"), pair.alias("pair"), F.explode("letters").alias("letter"))
+    rows = rows.select(F.xxhash64("pair", "letter").alias("block"), "side", "pid", "alts")
+    # a block needs two profiles; large ones are cut into parts, and each pair of parts is compared by itself
+    sizes = rows.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1")
+    parts = F.ceil(F.col("n") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("pid"), parts).cast("int")
+    rows = rows.join(sizes, "block").select("block", "side", "pid", "alts", own.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("with"))
+    rows = rows.select("block", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "pid", "side", "part", "alts")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        todo = []
+        for group in _sorted_groups(batches, 3):
+            alts = [_unpack(r["alts"]) for r in group]
+            inside = group[0]["p"] == group[0]["q"]
+            for i, r in enumerate(group):
+                for j in range(i):
+                    s = group[j]
+                    if r["pid"] != s["pid"] and (inside or r["part"] != s["part"]) and (r["side"] == 2 or r["side"] != s["side"]):
+                        todo.append((s["pid"], alts[j], r["pid"], alts[i]))
+                if len(todo) > 10_000:
+                    yield _links(todo)
+                    todo = []
+        yield _links(todo)
+
+    ordered = rows.repartition("block", "p", "q").sortWithinPartitions("block", "p", "q", "pid")
+    return ordered.mapInArrow(compare, _LINK).distinct()
+
+
+def _rescored(links: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Links (a, b) compared anew by the profiles as they are now."""
+    left = profiles.select(F.col("pid").alias("a"), F.col("alts").alias("alts_a"))
+    right = profiles.select(F.col("pid").alias("b"), F.col("alts").alias("alts_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _links([(r["a"], _unpack(r["alts_a"]), r["b"], _unpack(r["alts_b"])) for r in batch.to_pylist()])
+
+    return links.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "alts_a", "alts_b").mapInArrow(run, _LINK)
+
+
+def _proposals(links: DataFrame) -> DataFrame:
+    """(pid, into): the profiles that may merge in this round, each into one that itself stays."""
+    out = links.select(F.col("a").alias("i"), F.col("b").alias("j"), "gap", "words", F.col("full_a").alias("full_i"), F.col("full_b").alias("full_j"))
+    both = out.unionAll(out.select(F.col("j").alias("i"), F.col("i").alias("j"), "gap", "words", F.col("full_j").alias("full_i"), F.col("full_i").alias("full_j")))
+    # the best partners of each, and of them the fullest, the smallest on ties
+    best = both.groupBy("i").agg(F.min(F.struct("gap", "words", (-F.col("full_j")).alias("empty"), "j")).alias("r"), F.first("full_i").alias("full_i"))
+    best = best.select("i", "full_i", F.col("r.gap").alias("gap"), F.col("r.words").alias("words"), F.col("r.j").alias("into"), (-F.col("r.empty")).alias("full_into"))
+    known = both.select("i", "j")
+    # partners as near that do not agree with that one contradict it
+    others = both.select("i", "j", "gap", "words").join(best.select("i", "gap", "words", "into"), ["i", "gap", "words"]).filter("j <> into")
+    torn = others.join(known.select(F.col("i").alias("into"), "j"), ["into", "j"], "left_anti").select("i")
+    upward = (F.col("full_into") > F.col("full_i")) | ((F.col("full_into") == F.col("full_i")) & (F.col("into") < F.col("i")))
+    ready = best.filter(upward).join(torn, "i", "left_anti")
+    # rivals: what the partner fits as well or better must agree with the proposer
+    around = both.select(F.col("i").alias("into"), F.col("j").alias("x"), F.col("gap").alias("gap_x"), F.col("words").alias("words_x"))
+    nearer = (F.col("gap_x") < F.col("gap")) | ((F.col("gap_x") == F.col("gap")) & (F.col("words_x") <= F.col("words")))
+    rivals = ready.join(around, "into").filter(nearer & (F.col("x") != F.col("i"))).select("i", "x")
+    blocked = rivals.join(known.withColumnRenamed("j", "x"), ["i", "x"], "left_anti").select("i")
+    free = ready.join(blocked, "i", "left_anti").select(F.col("i").alias("pid"), "into")
+    return free
+
+
+def _merged(profiles: DataFrame, moves: DataFrame) -> DataFrame:
+    """(pid, into, full, alts): the profiles of ``moves`` folded into their targets one after another.
+
+    A profile whose merge an earlier one of the round has made impossible stays
+    as it is.
     """
-    gap = min(core_gap(x, y) for x in a.cores for y in b.cores)
-    if gap > 2 or not all(rests_agree(x, y) for x in a.readings for y in b.readings):
-        return None
-    return gap, -max(min(len(x.rest), len(y.rest)) for x in a.readings for y in b.readings)
-
-
-def resolve(spellings: list[tuple[str, Reading, frozenset[str]]]) -> list[int]:
-    """A group number for each (name, reading, record keys) of a block."""
-    parent = list(range(len(spellings)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    seen: dict[object, int] = {}
-    for i, (_, reading, keys) in enumerate(spellings):
-        # the same record, or the same reading, is the same entity
-        for mark in [("k", k) for k in keys] + [reading]:
-            j = seen.setdefault(mark, i)
-            parent[find(i)] = find(j)
-    profiles: dict[int, Profile] = {}
-    for i, (_, reading, keys) in enumerate(spellings):
-        p = profiles.setdefault(find(i), Profile(set(), set(), set()))
-        p.members.add(i)
-        p.cores.add(reading.core)
-        p.readings.add(reading)
-        p.keys |= keys
-    order = sorted(profiles)
-    fits: dict[int, dict[int, tuple[int, int]]] = {i: {} for i in order}
-
-    def compare(i: int, j: int) -> None:
-        fit = _agree(profiles[i], profiles[j])
-        if fit is not None:
-            fits[i][j] = fits[j][i] = fit
-
-    for n, i in enumerate(order):
-        for j in order[n + 1 :]:
-            compare(i, j)
-    merged = True
-    while merged:
-        merged = False
-        # the profiles that say most merge first, and meet the others as richer ones
-        for i in sorted(profiles, key=lambda x: (-profiles[x].full(), x)):
-            if i not in profiles or not fits[i]:
-                continue
-            best = min(fits[i].values())
-            near = sorted(j for j, fit in fits[i].items() if fit == best)
-            if any(y not in fits[x] for n, x in enumerate(near) for y in near[n + 1 :]):
-                continue  # the partners contradict one another
-            for j in near:
-                # the partner may have a nearer match, or partners that contradict this profile
-                rivals = [x for x, fit in fits[j].items() if fit <= best and x != i and x not in fits[i]]
-                if rivals:
+    children = moves.join(profiles, "pid").select("into", F.lit(1).alias("turn"), "pid", "full", "alts")
+    roots = profiles.join(moves.select(F.col("into").alias("pid")).distinct(), "pid", "left_semi")
+    rows = children.unionAll(roots.select(F.col("pid").alias("into"), F.lit(0).alias("turn"), "pid", "full", "alts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: tuple[str, tuple[Alternative, ...]] | None = None
+        done: list[dict] = []
+
+        def close() -> None:
+            if state is not None:
+                done.append({"pid": state[0], "into": state[0], "full": _full(state[1]), "alts": _pack(state[1])})
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = _unpack(row["alts"])
+                if state is None or row["into"] != state[0]:
+                    close()
+                    state = (row["pid"], own)
                     continue
-                a, b = profiles[i], profiles.pop(j)
-                a.members |= b.members
-                a.cores |= b.cores
-                a.readings |= b.readings
-                a.keys |= b.keys
-                for x in [*fits.pop(j), *fits[i]]:
-                    if x in fits:
-                        fits[x].pop(j, None)
-                        fits[x].pop(i, None)
-                fits[i] = {}
-                for x in sorted(profiles):
-                    if x != i:
-                        compare(i, x)
-                merged = True
-                break
-    group = [0] * len(spellings)
-    for number, p in enumerate(profiles.values()):
-        for i in p.members:
-            group[i] = number
-    return group
+                both = unite(state[1], own)
+                if both:
+                    state = (state[0], both)
+                    done.append({"pid": row["pid"], "into": state[0], "full": None, "alts": None})
+                else:
+                    done.append({"pid": row["pid"], "into": row["pid"], "full": row["full"], "alts": row["alts"]})
+            yield pa.RecordBatch.from_pylist(done, schema=fields)
+            done = []
+        close()
+        yield pa.RecordBatch.from_pylist(done, schema=fields)
+
+    item = pa.struct([("cores", pa.list_(pa.string())), ("rest", pa.list_(pa.string())), ("person", pa.bool_())])
+    fields = pa.schema([("pid", pa.string()), ("into", pa.string()), ("full", pa.int32()), ("alts", pa.list_(item))])
+    ordered = rows.repartition("into").sortWithinPartitions("into", "turn", F.desc("full"), "pid")
+    return ordered.mapInArrow(run, f"pid string, into string, full int, alts {_ALTS}")
 
 
 def entities_of_names(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """(name, entity): every distinct spelling with the smallest spelling of its entity."""
     spark = entities.sparkSession
-    pairs = materialize(mentions(entities, relations), "mentions")
-    by_name = pairs.groupBy("name").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"),
-        F.sort_array(F.collect_set("key")).alias("keys"),
-    )
-    vocabulary = spark.sparkContext.broadcast(_frequent(by_name.select("name")))
+    names = materialize(mentions(entities, relations), "mentions")
+    vocabulary = spark.sparkContext.broadcast(_common(names))
     built: list[Vocabulary] = []
 
     def read(columns):
         if not built:
             built.append(Vocabulary(vocabulary.value))
-        out = {k: columns[k] for k in ("name", "keys")} | {"core": [], "rest": [], "person": [], "links": []}
-        for name, kinds in zip(columns["name"].to_pylist(), columns["kinds"].to_pylist(), strict=True):
-            r = read_name(name, built[0], kinds)
-            out["core"].append(r.core)
-            out["rest"].append(list(r.rest))
-            out["person"].append(r.person)
-            out["links"].append(core_keys(r.core))
+        out: dict[str, list] = {"name": columns["name"].to_pylist(), "reading": [], "full": [], "alts": []}
+        for name, kinds in zip(out["name"], columns["kinds"].to_pylist(), strict=True):
+            alts = read_name(name, built[0], kinds)
+            out["reading"].append(repr(alts))
+            out["full"].append(_full(alts))
+            out["alts"].append(_pack(alts))
         return out
 
-    schema = "name string, keys array<string>, core string, rest array<string>, person boolean, links array<string>"
-    # shuffled by name already; reading is the costly part, so the few thousand rows a task are spread out
-    read_names = materialize(map_batches(by_name.select("name", "kinds", "keys"), schema, read), "readings")
-    links = read_names.select("core", F.explode(F.concat("links", "keys")).alias("link")).distinct()
-    pair = F.array("a", "b")
-    near = near_pairs(read_names).select(F.explode(pair).alias("core"), F.concat_ws("\u0000", F.lit("near"), "a", "b").alias("link"))
-    links = links.unionAll(near)
-    # A link that a single core has joins nothing.
-    shared = links.groupBy("link").agg(F.count("*").alias("n")).filter("n > 1").select("link")
-    links = materialize(links.join(shared, "link"), "links")
-    label = components(links, "link", "core")
-    blocks = read_names.drop("links").join(label, "core", "left").withColumn("label", F.coalesce("label", "core"))
-    sizes = blocks.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > MOST)
-    first = F.coalesce(F.substring(F.get("rest", F.lit(0)), 1, 1), F.lit(""))
-    blocks = blocks.join(sizes, "label", "left").withColumn("part", F.when(F.col("n").isNotNull(), first).otherwise(""))
-
-    def work(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["name", "core", "rest", "person", "keys"]).to_pylist(), key=lambda r: r["name"])
-        spellings = [(r["name"], Reading(r["core"], tuple(r["rest"]), r["person"]), frozenset(r["keys"])) for r in rows]
-        groups: dict[int, list[int]] = defaultdict(list)
-        for i, g in enumerate(resolve(spellings)):
-            groups[g].append(i)
-        least = {i: rows[members[0]]["name"] for members in groups.values() for i in members}
-        return pa.table(
-            {"name": pa.array([r["name"] for r in rows], pa.string()), "entity": pa.array([least[i] for i in range(len(rows))], pa.string())}
-        )
-
-    resolved = materialize(blocks.groupBy("label", "part").applyInArrow(work, "name string, entity string"), "resolved")
-    # Merged profiles meet once more over their record keys, which a split block may have parted.
-    held = pairs.filter("key is not null").join(resolved, "name").select("key", "entity").distinct()
-    loose = held.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    held = materialize(held.join(loose, "key"), "held")
-    if held.limit(1).count() == 0:
-        return resolved
-    label = components(held, "key", "entity").withColumnRenamed("label", "joint")
-    return resolved.join(label, "entity", "left").select("name", F.coalesce("joint", "entity").alias("entity"))
+    readings = materialize(map_batches(names, f"name string, reading string, full int, alts {_ALTS}", read), "readings")
+    # one reading is one profile, called by its smallest spelling
+    forms = readings.groupBy("reading").agg(F.min("name").alias("pid"), F.first("full").alias("full"), F.first("alts").alias("alts"))
+    forms = materialize(forms, "profiles")
+    cores = forms.select(F.explode(F.flatten("alts.cores")).alias("core")).distinct()
+    near = materialize(near_pairs(cores), "near")
+
+    profiles = forms.select("pid", "full", "alts")
+    held = [names, forms, near]
+    moves: list[DataFrame] = []
+    while True:
+        links = materialize(block_links(profiles, near), "links")
+        before = len(moves)
+        while True:
+            free = materialize(_proposals(links), "free")
+            # who is merged into stays for this round
+            chosen = free.join(free.select(F.col("pid").alias("into")), "into", "left_anti").select("pid", "into")
+            changed = materialize(_merged(profiles, chosen), "merged")
+            drop_materialized(free)
+            moved = changed.filter("pid <> into").select("pid", "into")
+            if moved.limit(1).count() == 0:
+                drop_materialized(changed)
+                break
+            moves.append(moved)
+            held.append(changed)
+            kept = changed.filter("pid = into").select("pid", "full", "alts")
+            touched = changed.select("pid")
+            old_profiles, old_links = profiles, links
+            profiles = materialize(old_profiles.join(touched, "pid", "left_anti").unionByName(kept), "profiles")
+            to_a = moved.select(F.col("pid").alias("a"), F.col("into").alias("new_a"))
+            to_b = moved.select(F.col("pid").alias("b"), F.col("into").alias("new_b"))
+            grown = kept.select("pid").join(moved.select(F.col("into").alias("pid")).distinct(), "pid", "left_semi")
+            marks = moved.select("pid").unionAll(grown)
+            fresh_a = marks.select(F.col("pid").alias("a"), F.lit(True).alias("fresh_a"))
+            fresh_b = marks.select(F.col("pid").alias("b"), F.lit(True).alias("fresh_b"))
+            marked = old_links.join(fresh_a, "a", "left").join(fresh_b, "b", "left")
+            fresh = F.col("fresh_a").isNotNull() | F.col("fresh_b").isNotNull()
+            same = marked.filter(~fresh).select(*old_links.columns)
+            new_a, new_b = F.coalesce("new_a", "a"), F.coalesce("new_b", "b")
+            again = marked.filter(fresh).select("a", "b").join(to_a, "a", "left").join(to_b, "b", "left")
+            again = again.select(F.least(new_a, new_b).alias("a"), F.greatest(new_a, new_b).alias("b")).filter("a <> b")
+            links = materialize(same.unionByName(_rescored(again, profiles)), "links")
+            drop_materialized(old_links)
+            if len(moves) > 1:
+                drop_materialized(old_profiles)
+        drop_materialized(links)
+        if len(moves) == before:
+            break
+    # from readings to final profiles, round by round
+    final = forms.select("reading", F.col("pid").alias("at"))
+    for moved in moves:
+        step = moved.select(F.col("pid").alias("at"), "into")
+        final = final.join(step, "at", "left").select("reading", F.coalesce("into", "at").alias("at"))
+    named = materialize(readings.select("name", "reading").join(final, "reading").select("name", "at"), "named")
+    for df in [*held, readings, *([profiles] if moves else [])]:
+        drop_materialized(df)
+    least = named.groupBy("at").agg(F.min("name").alias("entity"))
+    return named.join(least, "at").select("name", "entity")
 
 
 def variant_pairs(resolved: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """Reading a name: what of it tells the entity apart, and when two readings agree.
 
-A reading splits a spelling into its *core* (the rare word: a family, place or
-brand name), and the *rest* (given names and initials of a person, the words
-that say what kind of thing another name is). Both are put into one Latin
+A spelling is read into one or more *alternatives*: one of its rarer words is
+the *core* (a family, place or brand name), all others are the *rest* (given
+names and initials of a person, the words that say what kind of thing another
+name is). Which words are common, and which of these are given names, is
+learned from the spellings themselves (see ``names``); where nothing is known of
+a spelling's words each long one may be the core. Words are put into one Latin
 alphabet, without accents, doubled letters, titles and legal forms.
 """
 
@@ -15,53 +18,50 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 # Romanisation of Cyrillic letters.
-ROMAN = dict(
-    zip(
-        "абвгдеёжзийклмнопрстуфхцчшщъыьэюяіїєґ",
-        "a b v g d e e zh z i i k l m n o p r s t u f kh ts ch sh shch _ i _ e iu ia i i e g".replace("_", "").split(" "),
-        strict=True,
-    )
-)
-# Short forms of given names, romanised.
+ROMAN = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "i",
+    "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f",
+    "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "i", "ь": "", "э": "e", "ю": "iu", "я": "ia",
+    "і": "i", "ї": "i", "є": "e", "ґ": "g",
+}
+# Short forms of given names that are no beginnings of them, romanised; general, not taken from any data.
 SHORT_FORMS = {
-    "alexander": "alec alex sandy xander", "andrew": "andy drew", "anthony": "tony", "benjamin": "ben benny",
-    "catherine": "cathy", "charles": "charlie chuck", "christopher": "chris kit", "daniel": "dan danny",
-    "david": "dave", "dorothy": "dot dolly dottie", "edward": "ed eddie ted ned", "eleanor": "nell ellie nora",
-    "elizabeth": "liz beth betty eliza lizzie", "frederick": "fred freddie", "george": "georgie",
-    "gregory": "greg", "harold": "hal harry", "henry": "hank", "isabella": "bella izzy", "james": "jim jimmy jamie",
-    "john": "jack johnny", "joseph": "joe", "josephine": "josie jo", "katherine": "kate katie kathy kitty",
-    "lawrence": "larry", "margaret": "peggy maggie meg", "matthew": "matt", "michael": "mike mick",
-    "nicholas": "nick", "patricia": "pat patty tricia", "peter": "pete", "quentin": "quin", "rebecca": "becky",
-    "richard": "dick rick rich", "robert": "bob rob bobby bert", "samuel": "sam sammy", "stephen": "steve",
-    "susanna": "sue susie", "theodore": "theo teddy", "thomas": "tom tommy", "uriah": "uri",
-    "victoria": "vicky vicki tori", "walter": "walt wally", "william": "bill will billy liam", "zachary": "zack zach",
-    "aleksandr": "sasha shura sania", "aleksandra": "", "aleksei": "alesha lesha", "anastasia": "nastia",
-    "andrei": "andriusha", "anna": "ania", "boris": "boria", "dmitri": "dima mitia", "ekaterina": "katia",
-    "elena": "lena", "evgenia": "zhenia", "evgeni": "", "fedor": "fedia fiodor", "galina": "galia",
-    "grigori": "grisha", "iakov": "iasha", "irina": "ira", "iulia": "iulka", "iuri": "iura", "ivan": "vania",
-    "konstantin": "kostia", "leonid": "lenia", "liudmila": "liuda liusia mila", "maria": "masha marusia",
-    "mikhail": "misha", "natalia": "natasha", "nikolai": "kolia", "olga": "olia", "pavel": "pasha",
-    "petr": "petia", "roman": "roma", "sergei": "serezha", "stepan": "stepa", "svetlana": "sveta",
-    "tatiana": "tania", "timofei": "tima timosha", "vasili": "vasia", "viktor": "vitia", "vladimir": "vova volodia",
-    "zinaida": "zina",
+    "abigail": "abby gail", "albert": "bert bertie", "alexander": "alec sandy xander", "amelia": "millie",
+    "andrew": "drew", "anthony": "tony", "arthur": "artie", "barbara": "babs", "bernard": "bernie", "catherine": "kate katie kathy kitty",
+    "charles": "charlie chuck", "charlotte": "lottie", "christopher": "kit", "david": "dave", "deborah": "debbie",
+    "dorothy": "dot dolly dottie", "edmund": "ned ted", "edward": "ted ned teddy", "eleanor": "nell nora",
+    "elizabeth": "liz lizzie beth betty", "emily": "millie", "eugene": "gene", "florence": "flossie", "francis": "frank",
+    "frederick": "fritz", "gerald": "gerry jerry", "harold": "hal harry", "helen": "nell", "henry": "hank harry",
+    "isabella": "bella izzy", "james": "jim jimmy jamie", "jennifer": "jenny", "john": "jack johnny", "joseph": "jo joe",
+    "josephine": "jo josie", "judith": "judy", "katherine": "kate katie kathy kitty", "lawrence": "larry", "leonard": "len lenny",
+    "lucille": "lucy", "margaret": "peggy maggie meg", "martha": "patty", "mary": "molly polly", "matilda": "tilly",
+    "michael": "mike mick", "nicholas": "nick", "patricia": "patty tricia", "quentin": "quin", "rebecca": "becky",
+    "reginald": "reggie", "richard": "dick rick", "robert": "bob bobby", "rosemary": "romy", "sarah": "sally",
+    "stephen": "steve", "susanna": "sue susie", "theodore": "ted teddy", "thomas": "tom tommy", "victoria": "vicky tori",
+    "virginia": "ginny", "walter": "wally", "william": "bill billy liam", "zachary": "zack zach",
+    "aleksandr": "sasha shura sania", "aleksandra": "sasha shura", "aleksei": "alesha lesha", "anastasia": "nastia",
+    "anatoli": "tolia", "andrei": "andriusha", "anna": "ania", "anton": "antosha", "arkadi": "arkasha", "boris": "boria",
+    "denis": "deniska", "dmitri": "dima mitia", "egor": "gosha", "ekaterina": "katia", "elena": "lena", "elizaveta": "liza",
+    "evgenia": "zhenia", "evgeni": "zhenia", "fedor": "fedia fiodor", "galina": "galia", "gennadi": "gena", "georgi": "gosha zhora",
+    "grigori": "grisha", "iakov": "iasha", "ilia": "iliusha", "irina": "ira", "iulia": "iulka", "iuri": "iura", "ivan": "vania",
+    "konstantin": "kostia", "ksenia": "ksiusha", "larisa": "lara", "leonid": "lenia", "lidia": "lida", "liubov": "liuba",
+    "liudmila": "liuda liusia mila", "maksim": "maks", "maria": "masha marusia", "mikhail": "misha", "nadezhda": "nadia",
+    "natalia": "natasha", "nikolai": "kolia", "oleg": "olezha", "olga": "olia", "pavel": "pasha", "petr": "petia",
+    "semen": "sema senia", "sergei": "serezha", "sofia": "sonia", "stanislav": "stas", "stepan": "stepa", "svetlana": "sveta",
+    "tamara": "toma", "tatiana": "tania", "timofei": "tima timosha", "valentin": "valia", "vasili": "vasia", "viacheslav": "slava",
+    "viktor": "vitia", "vladimir": "vova volodia", "zinaida": "zina",
 }
-TITLES = set("mr mrs ms miss dr prof professor sir lady lord rev capt tov gn gzha akad dr proff tovarishch gospodin gospozha".split())
+# Forms of address, romanised.
+TITLES = "mr mrs ms miss dr prof professor sir lady lord rev capt tov gn gzha akad proff tovarishch gospodin gospozha".split()
 # Legal forms and words without weight in a name, romanised.
-LEGAL = set(
-    "inc incorporated ltd limited co corp corporation llc plc gmbh ag sa ao oo zao pao oao oo akcionernoe aktsionernoe "
-    "ogranichenoi otvetstvenostiu the of and an de la city town gorod".split()
+LEGAL = (
+    "inc incorporated ltd limited corp corporation llc plc gmbh ag sa ao oo ooo zao pao oao the of and an de la city town gorod".split()
 )
-# Common words for kinds of organisations, places and works, romanised without doubled letters.
-KINDS = set(
-    "bank savings trust society historical institute institut university univesitet universitet college school academy "
-    "akademia observatory museum muzei library club football works steel railway airways international shipping company "
-    "mining textile factory glas ceramics brothers sons research centre center press publishing station hospital "
-    "hotel theatre teatr zavod kombinat izdatelstvo obshchestvo fabrika fond soiuz komitet ministerstvo sluzhba "
-    "new old upper lower saint port mount north south east west great little fort cape lake river island "
-    "novi stari verkhni nizhni boli mali sviatoi port gora "
-    "almanac almanakh quarterly chronicle journal times herald vestnik gazeta slovar sonata symphony kontsert concert "
-    "opera lantern compas turbine tractor traktor pribor mark one two three".split()
-)
+# Legal forms of several words, romanised without doubled letters.
+PHRASES = [
+    "obshchestvo s ogranichenoi otvetstvenostiu", "otkritoe aktsionernoe obshchestvo", "zakritoe aktsionernoe obshchestvo",
+    "publichnoe aktsionernoe obshchestvo", "aktsionernoe obshchestvo", "limited liability company", "public limited company",
+]
 
 # Sounds written with several Latin letters count as one letter.
 _SOUNDS = dict(zip("shch zh kh ch sh ts iu ia".split(), "шжхчсцюя", strict=True))
@@ -106,25 +106,50 @@ def canon(word: str) -> str:
     return single(packed(roman(word)))
 
 
-FORMAL = {canon(short): canon(full) for full, shorts in SHORT_FORMS.items() for short in [full, *shorts.split()]}
-TITLES = {canon(w) for w in TITLES}
-LEGAL_ROMAN = frozenset(LEGAL)
-LEGAL = {canon(w) for w in LEGAL}
-KINDS_ROMAN = frozenset(KINDS)
-KINDS = {canon(w) for w in KINDS}
+FORMAL: dict[str, frozenset[str]] = {}
+for _full, _shorts in SHORT_FORMS.items():
+    for _short in [_full, *_shorts.split()]:
+        FORMAL[canon(_short)] = FORMAL.get(canon(_short), frozenset()) | {canon(_full)}
+TITLES = frozenset(map(canon, TITLES))
+LEGAL = frozenset(map(roman, LEGAL))
+PHRASES = [tuple(map(canon, p.split())) for p in PHRASES]
+COMPANY = frozenset(map(canon, ["co", "company"]))
 PATRONYMIC = re.compile(rf"(ovi{canon('ch')}|evi{canon('ch')}|ovna|evna|i{canon('ch')}na)$")
 
 
-def tokens(name: str) -> list[str]:
-    """Romanised words; a hyphen parts words unless it abbreviates one, which is then marked by a dot at the end."""
+@dataclass(frozen=True)
+class Word:
+    """A word as read: romanised, its form for comparison, and whether a sign marks it as cut short."""
+
+    plain: str
+    form: str
+    cut: bool
+
+
+def words_of(name: str) -> list[Word]:
+    """The words of a name in order, without forms of address and legal forms unless nothing else is left.
+
+    A hyphen parts words unless it abbreviates one; letters run together in a
+    name of mixed case are initials (``Smith JB``).
+    """
     text = unicodedata.normalize("NFKC", name)
-    out = []
+    mixed = any(c.islower() for c in text)
+    out: list[Word] = []
     for raw in _SPLIT.findall(text):
-        if "-" in raw and not _ABBREVIATED.match(raw):
-            out += raw.split("-")
-        else:
-            out.append(raw.replace("-", "") + "." * ("-" in raw))
-    return [roman(w) for w in out if w]
+        short = _ABBREVIATED.match(raw) is not None
+        parts = [raw.replace("-", "")] if short else raw.split("-")
+        for part in parts:
+            if mixed and 2 <= len(part) <= 3 and part.isupper() and roman(part) not in LEGAL and canon(part) not in TITLES:
+                out += [Word(roman(c), canon(c), False) for c in part]
+            elif roman(part):
+                out.append(Word(roman(part), canon(part), short))
+    for phrase in PHRASES:
+        for i in range(len(out) - len(phrase) + 1):
+            if tuple(w.form for w in out[i : i + len(phrase)]) == phrase and len(out) > len(phrase):
+                out = out[:i] + out[i + len(phrase) :]
+                break
+    out = [w for w in out if w.form not in TITLES] or out
+    return [w for w in out if w.plain not in LEGAL] or out
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -160,63 +185,76 @@ def abbreviates(short: str, word: str) -> bool:
     return all(c in rest for c in short)
 
 
-def same_word(a: str, b: str) -> bool:
-    """Equal, a typing error apart, or one abbreviating the other."""
-    if a == b:
-        return True
-    if min(len(a), len(b)) >= 4 and distance(a, b, 1) <= 1:
-        return True
-    return abbreviates(a, b) or abbreviates(b, a)
-
-
 def deletions(word: str) -> list[str]:
     """The word and what is left of it without one letter: two words one typing error apart share one of these."""
-    if len(word) < 5:
+    if len(word) < 4:
         return [word]
     return sorted({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))})
 
 
+@lru_cache(maxsize=500_000)
+def near(a: str, b: str) -> bool:
+    """One typing error apart at most, by sounds or by letters."""
+    if a == b:
+        return True
+    x, y = spelled(a), spelled(b)
+    return min(len(x), len(y)) >= 4 and (distance(a, b, 1) <= 1 or distance(x, y, 1) <= 1)
+
+
+def starts(short: str, word: str) -> bool:
+    return word.startswith(short) or spelled(word).startswith(spelled(short))
+
+
 @dataclass
 class Vocabulary:
-    """Words that occur in many names, and those of the fixed lists; typing errors are led back to them."""
+    """Common words with the share of persons among the names they stand in (None where no type is known)."""
 
-    frequent: frozenset[str]
-    _near: dict[str, list[tuple[str, str]]] = field(default_factory=dict)
+    common: dict[str, float | None]
+    _near: dict[str, list[str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        forms = [(w, w) for w in self.frequent | KINDS | FORMAL.keys() if len(w) >= 4]
-        forms += [(w, canon(w)) for w in KINDS_ROMAN if len(w) >= 5 and canon(w) != w]  # as they are written
-        for form, word in sorted(forms):
-            for part in deletions(form):
-                self._near.setdefault(part, []).append((form, word))
-        self._long = sorted(w for w in self.frequent | KINDS if len(w) >= 4)
+        for word in sorted(w for w in {**self.common, **FORMAL} if len(w) >= 4):
+            for part in {*deletions(word), *deletions(spelled(word))}:
+                self._near.setdefault(part, []).append(word)
+        self._long = sorted(w for w in self.common if len(w) >= 4)
 
     def known(self, word: str) -> bool:
-        return word in self.frequent or word in KINDS or word in FORMAL or bool(PATRONYMIC.search(word))
+        return word in self.common or word in FORMAL or bool(PATRONYMIC.search(word))
 
-    def mend(self, word: str, full: str) -> str | None:
-        """The known word one typing error away from ``word`` (or from ``full``, its form before packing)."""
-        for own in (word, full):
-            if len(own) >= 4:
+    def mend(self, word: str) -> str | None:
+        """The common word one typing error away."""
+        if len(spelled(word)) >= 4:
+            for own in (word, spelled(word)):
                 for part in deletions(own):
-                    for form, known in self._near.get(part, ()):
-                        if distance(own, form, 1) <= 1:
+                    for known in self._near.get(part, ()):
+                        # short words are a typing error away from some given name or other
+                        if near(word, known) and (known in self.common or len(spelled(word)) >= 5):
                             return known
         return None
 
-    def is_short_form(self, word: str) -> bool:
+    def shortened(self, word: str) -> bool:
         return any(abbreviates(word, w) for w in self._long)
 
+    def is_given(self, word: str) -> bool:
+        share = self.common.get(word)
+        return word in FORMAL or bool(PATRONYMIC.search(word)) or (share is not None and share >= 0.9)
+
+    def is_kind(self, word: str) -> bool:
+        share = self.common.get(word)
+        return word not in FORMAL and share is not None and share <= 0.5
+
 
 @dataclass(frozen=True)
-class Reading:
-    core: str
+class Alternative:
+    """One way to read a spelling, or a profile of several: its cores, its rest, whether it is a person (None: open)."""
+
+    cores: tuple[str, ...]
     rest: tuple[str, ...]
     person: bool | None
 
-
-def is_given(word: str) -> bool:
-    return word in FORMAL or bool(PATRONYMIC.search(word))
+    def full(self) -> int:
+        """How much it says: letters of the rest."""
+        return sum(map(len, self.rest))
 
 
 def _stem(word: str) -> str:
@@ -227,71 +265,47 @@ def _stem(word: str) -> str:
     return word
 
 
-# Legal forms of several words, as (marking word, words before it, words after it).
-_PHRASES = {"ogranichennoi": (2, 1), "aktsionernoe": (0, 1)}
-
-
-def _without_legal_phrases(words: list[str]) -> list[str]:
-    gone: set[int] = set()
-    for i, w in enumerate(words):
-        if w in _PHRASES:
-            before, after = _PHRASES[w]
-            gone |= set(range(i - before, i + after + 1))
-    return [w for i, w in enumerate(words) if i not in gone] or words
-
-
-def read_name(name: str, vocabulary: Vocabulary, kinds: Iterable[str] = ()) -> Reading:
+def read_name(name: str, vocabulary: Vocabulary, kinds: Iterable[str] = ()) -> tuple[Alternative, ...]:
     """``kinds``: entity types the spelling is stored with; they settle whether it names a person."""
-    words = [(w.rstrip("."), canon(w.rstrip(".")), w.endswith(".")) for w in _without_legal_phrases(tokens(name))]
-    words = [x for x in words if x[1] not in TITLES] or words
-    # legal forms go, unless nothing would be left
-    words = [x for x in words if x[0] not in LEGAL_ROMAN and (x[1] not in LEGAL or len(x[1]) == 1)] or words
-    slots: list[str | None] = []
-    unknown: list[tuple[int, str, str]] = []
-    for w, s, cut in words:
-        if len(s) == 1 or s.isdigit() or ((cut or len(s) <= 4) and not vocabulary.known(s) and vocabulary.is_short_form(s)):
-            slots.append(s)
-        elif vocabulary.known(s):
-            slots.append(FORMAL.get(s, s))
-        else:
-            unknown.append((len(slots), w, s))
-            slots.append(None)
-    for place, w, s in list(unknown):
-        others = sum(len(x[2]) for x in unknown if x[0] != place)
-        if others >= 5 and (fixed := vocabulary.mend(s, w)):
-            slots[place] = FORMAL.get(fixed, fixed)
-            unknown = [x for x in unknown if x[0] != place]
-    if unknown:
-        core = "".join(canon(_stem(w)) for _, w, _ in unknown)
-        rest = [s for s in slots if s is not None]
-    else:
-        rest = [s for s in slots if s]
-        long = [s for s in rest if len(s) > 1]
-        rare = [s for s in long if not is_given(s)]
-        pool = [s for s in rare if s not in KINDS] or rare or long or rest
-        core = max(pool, key=len) if pool else ""
-        if core:
-            rest.remove(core)
+    words = words_of(name)
+    if not words:
+        return ()
+    forms = [w.form for w in words]
+    fresh = [
+        i for i, w in enumerate(words)
+        if len(w.form) >= 4 and not w.form.isdigit() and not w.cut and not vocabulary.known(w.form)
+        and not (len(w.form) == 4 and vocabulary.shortened(w.form))
+    ]
+    for i in list(fresh):
+        if sum(len(forms[k]) for k in fresh if k != i) >= 5 and (fixed := vocabulary.mend(forms[i])):
+            forms[i] = fixed
+            fresh.remove(i)
+    if not fresh:
+        long = [i for i, f in enumerate(forms) if len(f) >= 4 and not words[i].cut]
+        fresh = [i for i in long if not vocabulary.is_given(forms[i])] or long
+        fresh = fresh or [max(range(len(forms)), key=lambda i: (len(forms[i]), -i))]
     types = {k for k in kinds if k}
-    given = any(is_given(s) for s in rest)
-    other = any(len(s) > 1 and not is_given(s) for s in rest)
-    if types:
-        person: bool | None = "PERSON" in types
-    elif given and not other:
-        person = True
-    elif rest and all(len(s) == 1 for s in rest):
-        person = None  # initials of a person, or of the words for a kind of thing
-    else:
-        person = False
-    if person is False and rest == ["g"]:
-        rest = []  # the short form of "city" before a name
-    return Reading(core, tuple(rest), person)
-
-
-def core_keys(core: str) -> list[str]:
-    """Cores that share a key are two edits apart at most; those one edit apart share one."""
-    full = spelled(core)
-    return deletions(core) + ([f"~{k}" for k in deletions(full)] if full != core else [f"~{core}"])
+    # one rare word is the core, or two neighbouring ones that a stray blank has parted
+    odd = [len(w.form) > 1 and not w.form.isdigit() and not w.cut and not vocabulary.known(w.form) for w in words]
+    spans = [(i, i + 1) for i in fresh] + [(i, i + 2) for i in range(len(words) - 1) if odd[i] and odd[i + 1]]
+    out = []
+    for lo, hi in spans:
+        rest = tuple(forms[:lo] + forms[hi:])
+        if types:
+            person: bool | None = "PERSON" in types
+        elif any(vocabulary.is_kind(f) for f in rest):
+            person = False
+        elif any(vocabulary.is_given(f) for f in rest):
+            person = True
+        else:
+            person = None
+        plain = "".join(w.plain for w in words[lo:hi])
+        core = forms[lo] if hi == lo + 1 and forms[lo] != words[lo].form else canon(_stem(plain))
+        if person is not True and rest == ("g",):
+            out.append(Alternative((core,), (), False))  # the short form of "city" before a name
+        if person is not False or rest != ("g",):
+            out.append(Alternative((core,), rest, person))
+    return tuple(dict.fromkeys(out))
 
 
 def near_keys(core: str) -> set[str]:
@@ -303,6 +317,7 @@ def near_keys(core: str) -> set[str]:
     return out
 
 
+@lru_cache(maxsize=500_000)
 def core_gap(a: str, b: str) -> int:
     """Edits between two cores, by sounds or by letters; 3 if too many for their length."""
     most = 2 if min(len(a), len(b)) >= 7 else 1 if min(len(a), len(b)) >= 5 else 0
@@ -312,39 +327,96 @@ def core_gap(a: str, b: str) -> int:
     return gap if gap <= most else 3
 
 
+def rest_keys(rest: tuple[str, ...]) -> set[str]:
+    """Letters of which any two rests that agree share one: words agree by their first letter or, mistyped, the second."""
+    out = set()
+    for w in rest:
+        for form in (w, spelled(w)):
+            out |= {form[0], *form[1 : 2 if len(w) >= 4 else 1]}
+        out |= {n[0] for n in FORMAL.get(w, ())}
+    return out or {""}
+
+
+@lru_cache(maxsize=500_000)
+def _same_given(x: str, y: str) -> bool:
+    short, word = sorted((x, y), key=len)
+    if x == y or (len(short) in (1, 3, 4, 5) and starts(short, word)) or near(x, y):
+        return True
+    # one a short form of the other, or both of one name
+    names = FORMAL.get(x, frozenset({x})), FORMAL.get(y, frozenset({y}))
+    if len(short) == 1:
+        return any(starts(short, n) for n in FORMAL.get(word, ()))
+    return bool(names[0] & names[1]) or any(near(n, x) for n in names[1]) or any(near(n, y) for n in names[0])
+
+
 def _given_agree(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
-    if not a or not b:
-        return False
-    for x, y in zip(a, b, strict=False):
-        if x == y or (len(x) == 1 and y.startswith(x)) or (len(y) == 1 and x.startswith(y)):
-            continue
-        if min(len(x), len(y)) >= 4 and distance(x, y, 1) <= 1:
-            continue
-        return False
-    return True
+    return bool(a) and bool(b) and all(_same_given(x, y) for x, y in zip(a, b, strict=False))
+
+
+def _same_kind(x: str, y: str, loose: bool) -> bool:
+    """``loose``: a typing error counts in words of any length, as others speak for the pair too."""
+    if loose and min(len(x), len(y)) >= 2 and distance(x, y, 1) <= 1:
+        return True
+    short, word = sorted((x, y), key=len)
+    swapped = len(x) == len(y) == 3 and sorted(x) == sorted(y)
+    return near(x, y) or swapped or abbreviates(short, word) or abbreviates(spelled(short), spelled(word))
 
 
 def _kinds_agree(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
-    """Every word has its counterpart; initials may stand for the words' first letters in order."""
+    """Every word has its counterpart, in any order; "company" may be left out."""
+    if len(a) != len(b):
+        a, b = (tuple(w for w in r if w not in COMPANY) for r in (a, b))
     if len(a) != len(b):
         return False
-    if a == b:
-        return True
     left = list(b)
     for x in sorted(a, key=len, reverse=True):
-        hit = next((y for y in left if x == y), None) or next((y for y in left if same_word(x, y)), None)
+        hit = next((y for y in left if x == y), None) or next((y for y in left if _same_kind(x, y, len(a) > 2)), None)
         if hit is None:
             return False
         left.remove(hit)
     return True
 
 
-def rests_agree(a: Reading, b: Reading) -> bool:
+@lru_cache(maxsize=500_000)
+def rests_agree(a: tuple[str, ...], a_person: bool | None, b: tuple[str, ...], b_person: bool | None) -> bool:
     """Whether the rests can belong to one entity, given agreeing cores."""
-    if a.person is None and b.person is None:
-        return a.rest == b.rest or _given_agree(a.rest, b.rest)
-    if a.person is not False and b.person is not False:
-        return _given_agree(a.rest, b.rest)
-    if a.person is True or b.person is True:
+    known = {a_person, b_person} - {None}
+    if len(known) == 2:
         return False
-    return _kinds_agree(a.rest, b.rest)
+    if a == b:
+        return True
+    return (False not in known and _given_agree(a, b)) or (True not in known and _kinds_agree(a, b))
+
+
+#: (gap between the cores, minus the words that speak for it, where each side's alternative stands)
+Fit = tuple[int, int, int, int]
+
+
+def fit(a: tuple[Alternative, ...], b: tuple[Alternative, ...]) -> Fit | None:
+    """How well two profiles fit, best alternatives first; None if they can't be one entity."""
+    best: Fit | None = None
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            if rests_agree(x.rest, x.person, y.rest, y.person):
+                gap = min(core_gap(p, q) for p in x.cores for q in y.cores)
+                if gap <= 2:
+                    own = (gap, -min(len(x.rest), len(y.rest)), i, j)
+                    best = own if best is None or own < best else best
+    return best
+
+
+def unite(a: tuple[Alternative, ...], b: tuple[Alternative, ...]) -> tuple[Alternative, ...]:
+    """The profile of both: all cores, and the fuller of each word of the rests; only alternatives that agree stay."""
+    out = []
+    for x in a:
+        for y in b:
+            if rests_agree(x.rest, x.person, y.rest, y.person) and min(core_gap(p, q) for p in x.cores for q in y.cores) <= 2:
+                person = x.person if x.person is not None else y.person
+                if person is not False and _given_agree(x.rest, y.rest):
+                    more = max(x.rest, y.rest, key=lambda r: (len(r), r))
+                    rest = tuple(max(p, q, key=lambda w: (len(w), w)) for p, q in zip(x.rest, y.rest, strict=False))
+                    rest += more[len(rest) :]
+                else:
+                    rest = max(x.rest, y.rest, key=lambda r: (sum(map(len, r)), r))
+                out.append(Alternative(tuple(sorted({*x.cores, *y.cores})), rest, person))
+    return tuple(dict.fromkeys(out))
