@@ -1,9 +1,11 @@
-"""Documents to chunks (sequence to rows). The fold runs as a higher-order function, without a UDF."""
+"""Documents to chunks (sequence to rows)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,42 +13,92 @@ from graphloom.functions import scalar
 from graphloom.operators.numbering import number_rows
 
 
-def pack_sentences(sentences: Column, max_size: int, overlap: int = 0) -> Column:
-    """Greedy packing of an array of sentences into an array of chunks.
+_BREAK = re.compile(scalar.SENTENCE_BREAK, re.ASCII)  # as the regular expressions of the JVM
+
+
+def split_sentences(text: str) -> list[str]:
+    """As ``scalar.sentences``."""
+    return [s for s in _BREAK.split(text) if s.strip(" ")]
+
+
+def pack_sentences(sentences: list[str], max_size: int, overlap: int = 0) -> list[str]:
+    """Greedy packing of sentences into chunks.
 
     A sentence joins the current chunk while both fit into ``max_size``
     characters (the chunk's trailing blank included); otherwise the chunk is
     flushed and the next one starts with its last ``overlap`` characters. A
     sentence longer than the limit becomes a chunk of its own, over the limit.
     """
-    empty = F.array().cast("array<string>")
-    start = F.struct(F.lit("").alias("cur"), empty.alias("out"))
+    out: list[str] = []
+    parts: list[str] = []
+    size = 0
+    for sentence in sentences:
+        if size + len(sentence) > max_size:
+            flushed = "".join(parts).strip(" ")
+            parts, size = [], 0
+            if flushed:
+                out.append(flushed)
+                if overlap:
+                    parts, size = [flushed[-overlap:] + " "], min(overlap, len(flushed)) + 1
+        parts.append(sentence + " ")
+        size += len(sentence) + 1
+    last = "".join(parts).strip(" ")
+    return [*out, last] if last else out
+
+
+def split_texts(documents: DataFrame, split: Callable[[str], list[str]], text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, chunk_order_idx, id, content): any chunker, a function from a text to its pieces, run in Arrow batches."""
+    kind = documents.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, place, content = [], [], []
+            for i, whole in enumerate(batch.column(1).to_pylist()):
+                pieces = split(whole)
+                at += [i] * len(pieces)
+                place += range(len(pieces))
+                content += pieces
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(place, pa.int32()), pa.array(content, pa.string())],
+                names=[key, "chunk_order_idx", "content"],
+            )
+
+    plain = documents.filter(F.col(text).isNotNull()).select(key, text)
+    cut = plain.mapInArrow(run, f"`{key}` {kind}, chunk_order_idx int, content string")
+    return cut.select(key, "chunk_order_idx", scalar.chunk_id(F.col("content")).alias("id"), "content")
 
-    def step(acc: Column, sentence: Column) -> Column:
-        fits = F.length(acc["cur"]) + F.length(sentence) <= max_size
-        flushed = F.trim(acc["cur"])
-        seed = F.concat(F.right(flushed, F.lit(overlap)), F.lit(" ")) if overlap else F.lit("")
-        seed = F.when(flushed == "", F.lit("")).otherwise(seed)
-        more = F.when(flushed == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(flushed)))
-        grown = F.struct(F.concat(acc["cur"], sentence, F.lit(" ")).alias("cur"), acc["out"].alias("out"))
-        fresh = F.struct(F.concat(seed, sentence, F.lit(" ")).alias("cur"), more.alias("out"))
-        return F.when(fits, grown).otherwise(fresh)
 
-    def finish(acc: Column) -> Column:
-        last = F.trim(acc["cur"])
-        return F.when(last == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(last)))
+def simple_chunks(documents: DataFrame, max_size: int, overlap: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, chunk_order_idx, id, content) of each document with a text, in time linear in the text."""
+    return split_texts(documents, lambda t: pack_sentences(split_sentences(t), max_size, overlap), text, key)
 
-    return F.aggregate(sentences, start, step, finish)
 
+def cut_by_scores(scores: Callable[[list[str]], list[float]], min_size: int, max_size: int) -> Callable[[str], list[str]]:
+    """A chunker that cuts between the neighbouring sentences a scorer holds least alike.
 
-def simple_chunks(documents: DataFrame, max_size: int, overlap: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, doc_hash, chunk_order_idx, id, content) of each document with a text."""
-    cut = documents.filter(F.col(text).isNotNull()).select(
-        key,
-        scalar.hash_id("", F.col(text)).alias("doc_hash"),
-        F.posexplode(pack_sentences(scalar.sentences(F.col(text)), max_size, overlap)).alias("chunk_order_idx", "content"),
-    )
-    return cut.withColumn("id", scalar.chunk_id(F.col("content")))
+    ``scores`` rates each sentence against the next one (a reranker, say); a
+    chunk is closed at its worst joint once it would outgrow ``max_size``
+    characters, but not below ``min_size``.
+    """
+
+    def split(text: str) -> list[str]:
+        parts = split_sentences(text)
+        joints = scores(parts) if len(parts) > 1 else []
+        out, lo = [], 0
+        while lo < len(parts):
+            hi, size = lo, 0
+            while hi < len(parts) and (hi == lo or size + len(parts[hi]) + 1 <= max_size):
+                size += len(parts[hi]) + 1
+                hi += 1
+            if hi < len(parts):
+                sizes = [sum(len(p) + 1 for p in parts[lo : k + 1]) for k in range(lo, hi)]
+                allowed = [k for k, n in zip(range(lo, hi), sizes, strict=True) if n >= min_size] or [hi - 1]
+                hi = min(allowed, key=lambda k: (joints[k], k)) + 1
+            out.append(" ".join(p.strip() for p in parts[lo:hi]))
+            lo = hi
+        return out
+
+    return split
 
 
 def whole_document_chunks(documents: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
@@ -75,10 +127,18 @@ def truncate_tokens(text: Column, limit: int) -> Column:
 
 
 def consecutive_similarity(vectors: DataFrame, group: str, order: str, vector: str) -> DataFrame:
-    """Dot product of each vector with the next one of its group (null at the end)."""
-    w = Window.partitionBy(group).orderBy(order)
+    """``vectors`` plus the dot product of each vector with the next one of its group (null at the end).
+
+    The rows are numbered by ranges of (group, order) and joined with the next
+    number, so that a group of any size is spread over the tasks.
+    """
+    numbered = number_rows(vectors, [group, order], "__n")
+    after = numbered.select((F.col("__n") - 1).alias("__n"), F.col(group).alias("__group"), scalar.as_double(F.col(vector)).alias("__next"))
+    follows = numbered.join(after, "__n", "left").withColumn(
+        "__next", F.when(F.col("__group").eqNullSafe(F.col(group)), F.col("__next"))
+    )
     unit = scalar.as_double(F.col(vector))
-    return vectors.withColumn("next_similarity", F.round(scalar.dot(unit, scalar.as_double(F.lead(vector).over(w))), 6))
+    return follows.withColumn("next_similarity", F.round(scalar.dot(unit, F.col("__next")), 6)).drop("__n", "__group", "__next")
 
 
 def semantic_chunks(

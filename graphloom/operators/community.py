@@ -88,9 +88,9 @@ def memberships(entities: DataFrame) -> DataFrame:
 def shared_memberships(edges: DataFrame, members: DataFrame) -> DataFrame:
     """(id, level, cluster_id) of the edges both ends of which are in the cluster."""
     s = members.select(F.col("id").alias("subject_id"), "level", "cluster_id")
-    o = members.select(F.col("id").alias("object_id"), F.col("level").alias("l2"), F.col("cluster_id").alias("c2"))
-    both = edges.select("id", "subject_id", "object_id").join(s, "subject_id").join(o, "object_id")
-    return both.filter((F.col("level") == F.col("l2")) & (F.col("cluster_id") == F.col("c2"))).select("id", "level", "cluster_id").distinct()
+    o = members.select(F.col("id").alias("object_id"), "level", "cluster_id")
+    both = edges.select("id", "subject_id", "object_id").join(s, "subject_id").join(o, ["object_id", "level", "cluster_id"])
+    return both.select("id", "level", "cluster_id").distinct()
 
 
 def community_rows(edges: DataFrame, members: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from graphloom.session import drop_materialized, materialize
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
-    """(id, edge_id, other): one row per edge end."""
-    out = edges.select(F.col("subject_id").alias("id"), F.col("id").alias("edge_id"), F.col("object_id").alias("other"))
-    into = edges.select(F.col("object_id").alias("id"), F.col("id").alias("edge_id"), F.col("subject_id").alias("other"))
-    return out.unionAll(into)
+    """(id, edge_id, other): one row per edge end; the edges are read once."""
+    end = lambda a, b: F.struct(F.col(a).alias("id"), F.col("id").alias("edge_id"), F.col(b).alias("other"))
+    both = F.array(end("subject_id", "object_id"), end("object_id", "subject_id"))
+    return edges.select(F.explode(both).alias("e")).select("e.id", "e.edge_id", "e.other")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -66,17 +66,18 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.filter(s.isNotNull() & o.isNotNull() & (s != o)).select(F.least(s, o).alias("a"), F.greatest(s, o).alias("b")).distinct()
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, component): connected components of (a, b) links, named by the smallest id in them.
 
     Alternates large-star and small-star steps, which end after a number of
     rounds that grows with the logarithm of the component size, and writes the
-    links after every round so that the plan stays short.
+    links after every round so that the plan stays short. It ends at the fixed
+    point, where a round gives back the links it was given.
     """
     nodes = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
     edges = materialize(links.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "links")
     state = None
-    for _ in range(rounds):
+    while True:
         both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionAll(edges.select("hi", "lo"))
         # large star: larger neighbours move to the smallest neighbour (or the node itself)
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

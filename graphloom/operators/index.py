@@ -8,8 +8,10 @@ was. ``save`` writes all tables to a fresh folder before it moves a pointer.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -198,25 +200,31 @@ def size_batches(rows: DataFrame, group: str, order: str, text: str, limit: int)
     """(group, order, batch): greedy batches of at most ``limit`` UTF-8 bytes in order, a larger item alone.
 
     A stream that counts on is sequential by nature; ``group`` (say, the
-    document of a chunk) bounds what one task folds. Rows without a group are
-    left out, null texts weigh nothing.
+    document of a chunk) spreads it. Only sizes are moved, and a task holds one
+    running sum, however many rows a group has. Rows without a group are left
+    out, null texts weigh nothing.
     """
-    item = F.struct(F.col(order).cast("bigint").alias("k"), F.coalesce(F.octet_length(text), F.lit(0)).alias("n"))
-    items = F.sort_array(F.collect_list(item))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("used"), F.array().cast("array<struct<k:bigint,batch:int>>").alias("out"))
-
-    def step(acc, x):
-        fits = (acc["used"] == 0) | (acc["used"] + x["n"] <= limit)
-        batch = F.when(fits, acc["batch"]).otherwise(acc["batch"] + 1)
-        used = F.when(fits, acc["used"] + x["n"]).otherwise(x["n"])
-        entry = F.struct(x["k"].alias("k"), batch.alias("batch"))
-        return F.struct(batch.alias("batch"), used.alias("used"), F.concat(acc["out"], F.array(entry)).alias("out"))
-
-    folded = rows.filter(F.col(group).isNotNull()).groupBy(group).agg(items.alias("items"))
-    return folded.select(group, F.explode(F.aggregate("items", start, step, lambda a: a["out"])).alias("x")).select(
-        group, F.col("x.k").alias(order), F.col("x.batch").alias("batch")
+    kind = rows.schema[group].dataType.simpleString()
+    sized = rows.filter(F.col(group).isNotNull()).select(
+        F.col(group).alias("g"), F.col(order).cast("bigint").alias("k"), F.coalesce(F.octet_length(text), F.lit(0)).alias("n")
     )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used, number = None, 0, 0
+        for batch in batches:
+            out = []
+            for own, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if own != last:
+                    last, used, number = own, 0, 0
+                elif used and used + n > limit:
+                    used, number = 0, number + 1
+                used += n
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], names=["g", "k", "batch"])
+
+    ordered = sized.repartition("g").sortWithinPartitions("g", "k")
+    return ordered.mapInArrow(run, f"g {kind}, k bigint, batch int").select(F.col("g").alias(group), F.col("k").alias(order), "batch")
+
 
 def fixed_batches(rows: DataFrame, order: str, size: int) -> DataFrame:
     """Batches of ``size`` rows by the position in ``order`` values that count from 0."""

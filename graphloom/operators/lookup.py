@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 
 def latest(rows: DataFrame, key: str, time: str = "ingested_at", number: str = "rec_no") -> DataFrame:
-    """The last stored row of each key, the smallest ``number`` on ties; aggregated on the map side."""
-    names = [c for c in rows.columns if c != key]
+    """The last stored row of each key, the smallest ``number`` on ties; aggregated on the map side.
+
+    Every column is an aggregate of its own, so that the columns nobody asks for
+    are pruned from the scan and from the shuffle.
+    """
     order = F.struct(F.col(time), -F.col(number))
-    best = F.max_by(F.struct(*names), order).alias("__row")
-    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, *[F.col(f"__row.{c}").alias(c) for c in names])
+    best = [F.max_by(c, order).alias(c) for c in rows.columns if c != key]
+    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(*best)
 
 
 def get_by_ids(request: DataFrame, stored: DataFrame, fields: list[str], key: str = "id") -> DataFrame:

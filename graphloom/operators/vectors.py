@@ -1,4 +1,4 @@
-"""Exact k-NN over dense and sparse vectors. Scores are DOUBLE."""
+"""Exact k-NN over dense vectors. Scores are DOUBLE."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors that are broadcast at once.
 MAX_QUERIES = 10_000
+#: Cells of the score matrix a task holds at once.
+CELLS = 4_000_000
 
 
 def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,15 +72,18 @@ def score_against(
                 own, x = _unit(batch.column(1), dim) if len(rows) else (rows, unit)
                 if not len(own) or not len(rows):
                     continue
-                ids = batch.column(0).take(pa.array(own))
-                score = np.round(unit @ x.T, 6)
-                keep = np.ones(score.shape, dtype=bool) if threshold is None else score >= threshold
-                if k is not None:
-                    keep &= best_of_batch(score, ids, k)
-                q, c = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(q)), ids.take(pa.array(c)), pa.array(score[q, c])], names=["query_id", "id", "score"]
-                )
+                every = batch.column(0).take(pa.array(own))
+                step = max(1, CELLS // len(rows))
+                for lo in range(0, len(own), step):  # a matrix of bounded size at a time
+                    ids = every.slice(lo, step)
+                    score = np.round(unit @ x[lo : lo + step].T, 6)
+                    keep = np.ones(score.shape, dtype=bool) if threshold is None else score >= threshold
+                    if k is not None:
+                        keep &= best_of_batch(score, ids, k)
+                    q, c = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays(
+                        [names.take(pa.array(q)), ids.take(pa.array(c)), pa.array(score[q, c])], names=["query_id", "id", "score"]
+                    )
 
         scored = stored.mapInArrow(run, schema)
         out = scored if out is None else out.unionAll(scored)
@@ -90,9 +95,3 @@ def top_k(scored: DataFrame, k: int, threshold: float | None = None) -> DataFram
     kept = scored if threshold is None else scored.filter(F.col("score") >= threshold)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return kept.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).withColumn("rank", F.col("n") - 1).drop("n")
-
-
-def sparse_dot(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """Sum over shared indices of two exploded sparse sets (id, idx, val)."""
-    q = queries.select(F.col("id").alias("query_id"), "idx", F.col("val").alias("qval"))
-    return q.join(documents, "idx").groupBy("query_id", "id").agg(F.sum(F.col("qval") * F.col("val")).alias("score"))

@@ -127,31 +127,39 @@ def group_relations(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def _merged_sql(name: str, extra: str) -> str:
+def _merged_sql(name: str, firsts: list[str], sets: list[str], strength: bool) -> str:
+    """Every version of an id merged in the order of rec_no, one step of the recursion per version."""
     split = (
-        "list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(description, ''), '\\n+', chr(31), 'g'),"
+        "list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce({0}, ''), '\\n+', chr(31), 'g'),"
         " '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')"
     )
+    once = "list_filter({0}, lambda x, i: list_position(list_transform({0}, lambda y: lower(y)), lower(x)) = i)"
+    clean = "list_sort(list_distinct(list_filter(coalesce({0}, []::varchar[]), lambda x: x is not null)))"
+    joined = "list_sort(list_distinct(list_filter(list_concat(coalesce({0}, []::varchar[]), coalesce({1}, []::varchar[])), lambda x: x is not null)))"
+    new_first = "coalesce(len(v.source_chunk_id), 0) >= r.rich"
+    start = [*firsts, f"array_to_string({once.format('ss')}, ' ') description", *[f"{clean.format(c)} {c}" for c in sets], "rich"]
+    step = [f"case when {new_first} then v.{c} else r.{c} end" for c in firsts]
+    parts = f"case when {new_first} then list_concat(v.ss, {split.format('r.description')}) else list_concat({split.format('r.description')}, v.ss) end"
+    step += [f"array_to_string({once.format('(' + parts + ')')}, ' ')", *[joined.format(f"v.{c}", f"r.{c}") for c in sets], f"len({joined.format('v.source_chunk_id', 'r.source_chunk_id')})"]
+    if strength:
+        start.append("relation_strength")
+        step.append("case when r.relation_strength is null then v.relation_strength when v.relation_strength is null then r.relation_strength else (v.relation_strength + r.relation_strength) / 2 end")
+    named = [c.split()[-1] for c in start]
+    out = ["id", *firsts, "description", *[f"array_to_string({c}, ',') {'chunks' if c == 'source_chunk_id' else 'documents'}" for c in sets]]
+    out += ["round(relation_strength, 6) relation_strength"] if strength else []
     return f"""
-with v as (
-  select *, case when rec_no = max(rec_no) over (partition by id) then 0 else 1 end pos from {name} where id is not null
-  qualify rec_no = max(rec_no) over (partition by id) or rec_no = min(rec_no) over (partition by id)
-), o as (select *, row_number() over (partition by id order by coalesce(len(source_chunk_id), 0) desc, pos) k from v),
-s as (select id, k, {split} ss from o where description is not null),
-f as (select id, k, i, ss[i] x from (select id, k, ss, unnest(range(1, len(ss) + 1)) i from s)),
-u as (select id, k, i, x from f qualify row_number() over (partition by id, lower(x) order by k, i) = 1),
-d as (select id, string_agg(x, ' ' order by k, i) description from u group by id),
-g as (select id, {extra}, {_ALL.format("source_chunk_id")} chunks from o group by id)
-select g.*, coalesce(d.description, '') description from g left join d using (id)
+with recursive v as (
+  select *, row_number() over (partition by id order by rec_no) k, count(*) over (partition by id) n, coalesce(len(source_chunk_id), 0) rich,
+    {split.format("description")} ss from {name} where id is not null
+), r(id, k, n, {", ".join(named)}) as (
+  select id, k, n, {", ".join(start)} from v where k = 1
+  union all
+  select r.id, v.k, r.n, {", ".join(step)} from r join v on v.id = r.id and v.k = r.k + 1
+) select {", ".join(out)} from r where k = n
 """
 
 
-@query(
-    _merged_sql(
-        "kg_entity",
-        f"first(entity_name order by k) entity_name, first(entity_type order by k) entity_type, {_ALL.format('documents_id')} documents",
-    )
-)
+@query(_merged_sql("kg_entity", ["entity_name", "entity_type"], ["source_chunk_id", "documents_id"], False))
 def merge_entities(spark: SparkSession, base: str) -> DataFrame:
     merged = merging.fold_entities(table(spark, base, "kg_entity"), "rec_no")
     return merged.select(
@@ -160,12 +168,7 @@ def merge_entities(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-@query(
-    _merged_sql(
-        "kg_relation",
-        "first(subject_name order by k) subject_name, first(relation_type order by k) relation_type, round(avg(relation_strength), 6) relation_strength",
-    )
-)
+@query(_merged_sql("kg_relation", ["subject_name", "relation_type"], ["source_chunk_id"], True))
 def merge_relations(spark: SparkSession, base: str) -> DataFrame:
     merged = merging.fold_relations(table(spark, base, "kg_relation"), "rec_no")
     return merged.select(

@@ -89,7 +89,7 @@ def test_fusion_and_sparse(spark):
     assert got == {"x": round(1 / 61, 9), "y": round(1 / 62 + 1 / 61, 9)}
     q = spark.createDataFrame([("q", 1, 0.7), ("q", 9, 1.0)], "id string, idx int, val double")
     d = spark.createDataFrame([("d", 1, 2.0), ("e", 3, 1.0)], "id string, idx int, val double")
-    assert [(r["id"], r["score"]) for r in vectors.sparse_dot(q, d).collect()] == [("d", 1.4)]
+    assert [(r["id"], r["score"]) for r in ranking.sparse_dot(q, d).collect()] == [("d", 1.4)]
 
 
 def test_global_insights_keep_whole_ratings_only(spark):
