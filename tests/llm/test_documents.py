@@ -135,6 +135,26 @@ def test_leaks(spark):
     assert leakage.leaks(d.limit(0), i).count() == 0 and leakage.leaks(d, i.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("every", [3, 4, 5, 6, 7])
+@pytest.mark.parametrize("how", ["changed", "missing"])
+@pytest.mark.parametrize("share", [0.55, 1.0])
+def test_leaks_survive_regular_changes(every, how, share):
+    item = words(40, 8)
+    index = leakage.Index([(1, item)], 0.5)
+    kept = item[: round(share * len(item)) + (every if share < 1 else 0)]
+    part = [w if i % every else ("other" if how == "changed" else None) for i, w in enumerate(kept)]
+    text = " ".join([*words(200, 9), *(w for w in part if w), *words(200, 10)])
+    assert [(n, i) for n, i, _ in index.leaks(["nothing here", text, ""])] == [(1, 1)]
+
+
+def test_short_items_leak_by_half_their_words_together():
+    items = [(1, ["alpha", "beta", "gamma", "delta"]), (2, ["one"]), (3, ["red", "green"]), (4, ["x1", "x2", "x3", "x4", "x5", "x6"])]
+    index = leakage.Index(items, 0.5)
+    texts = ["the alpha beta gamma lies", "one", "red and green", "red green", "alpha far from any gamma but beta", "x2 x9 x4 x5", "x1 y x3 y y x6", "zeta"]
+    # "x1 y x3" is half of the item with a single word changed
+    assert {(n, i) for n, i, _ in index.leaks(texts)} == {(0, 1), (1, 2), (3, 3), (5, 4), (6, 4)}
+
+
 # mixing
 
 
