@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from graphloom.llm.survivor import FILLERS
-
 _NEIGHBOURS = """
 with u as (
   select vec_no, v from (select vec_no, list_transform("__vector__", lambda x: x::double) v from vdb_entity
@@ -35,17 +33,23 @@ with t as (
 )
 """
 
-_FILLERS = ", ".join(f"'{f}'" for f in FILLERS)
+# Descriptions that say nothing, written down here by themselves, so that a gap in the engine's list would show.
+_FILLERS = (
+    "'none', 'null', 'nil', 'nan', 'na', 'n/a', 'n.a', 'unknown', 'missing', 'empty', 'todo', 'tbd', 'tba', 'fixme', 'no data',"
+    " 'no description', 'no description available', 'description missing', 'not available', 'to be added', 'to be determined', 'to be filled in',"
+    " 'нет', 'нет данных', 'нет описания', 'без описания', 'неизвестно', 'не указано', 'уточняется', 'отсутствует', 'описание отсутствует'"
+)
 _BARE = "regexp_replace(regexp_replace(lower({0}), '^[\\s\\p{{P}}]+|[\\s\\p{{P}}]+$', '', 'g'), '\\s+', ' ', 'g')"
 _KEYS = "len(list_distinct(list_filter(list_transform({0}, lambda k: lower(trim(k))), lambda k: k is not null and k <> '')))"
 
 _SURVIVORS = f"""
 with trusted as (select lower(trim(extractor)) x, max(trust) trust from extractor_trust group by 1),
+names as (select distinct id, {_BARE.format("entity_name")} n from kg_entity where entity_name is not null),
 r as (
   select e.id, e.rec_no, e.ingested_at t, coalesce(tr.trust, 0) trust,
     description is not null and regexp_matches(description, '[\\p{{L}}\\p{{N}}]')
       and {_BARE.format("description")} not in ({_FILLERS})
-      and coalesce({_BARE.format("description")} <> {_BARE.format("entity_name")}, true) says,
+      and not exists (select 1 from names where names.id = e.id and names.n = {_BARE.format("description")}) says,
     coalesce({_KEYS.format("source_chunk_id")}, 0) chunks, coalesce({_KEYS.format("documents_id")}, 0) docs
   from kg_entity e left join trusted tr on tr.x = lower(trim(e.extractor)) where e.id is not null
 ), n as (select id from r group by id having count(*) > 1),
@@ -61,10 +65,14 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _NEIGHBOURS
         + "select distinct least(id, other) vec_a, greatest(id, other) vec_b from k where c >= 0.8",
-        "p1_neighbours": _NEIGHBOURS + "select id, other neighbour, c cosine from k where c >= 0.8",
+        "p1_neighbours": _NEIGHBOURS + "select id, other neighbour, c cosine from k",
         "p4_found": _WORDS + "select src_table, rec_no from share where share >= 0.3",
         "p4_shares": _WORDS + "select src_table, rec_no, round(share, 6) share from share",
         "p5_found": _SURVIVORS,
+        "p5_records": f"""
+with s as ({_SURVIVORS}) select s.*, d.description, c.source_chunk_id, o.documents_id from s
+left join kg_entity d on d.rec_no = s.description_rec left join kg_entity c on c.rec_no = s.chunks_rec left join kg_entity o on o.rec_no = s.documents_rec
+""",
         "p6_found": "select distinct rec_no from kv_chunks where length(content) > 1400"
         " or len(regexp_extract_all(content, '\\S+')) > 220",
     }

@@ -8,9 +8,12 @@ then replaces a filter that all rules must pass. The patterns number at most
 3 ** rules, whatever the corpus, so the estimation runs on the driver over
 those counts while every text is measured in Arrow batches on the executors.
 
-``share`` is the measure asked for: the share of the words lying in a run of
+The posterior decides; :func:`repetitive` then checks the texts it names by the
+measure asked for. That is ``share``, the share of the words lying in a run of
 ``RUN`` words that already occurred earlier in the text (runs may overlap);
-words are runs of letters and digits in lower case.
+words are runs of letters and digits in lower case. It is no rule and has no
+vote: the rules look at shorter phrases, sentences, lines, the commonest pair of
+words, the variety of words, and how far the text can be packed.
 
 Defined results: null, empty and wordless texts have share 0 and get votes like
 any other short text; texts are processed whole whatever their length; repeated
@@ -32,7 +35,9 @@ from graphloom.session import materialize
 
 RUN = 6
 LIMIT = 0.3
-RULES = ("run", "sentence", "line", "pair", "variety", "packed")
+#: Words of the phrases the first rule looks at.
+PHRASE = 4
+RULES = ("phrase", "sentence", "line", "pair", "variety", "packed")
 
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?;…]+\s+|\n+")
@@ -78,7 +83,7 @@ def measure(text: str | None) -> tuple[float, list[int]]:
     words = _WORD.findall(low)
     n = len(words)
     share = repeated_share(words)
-    votes = [_vote(share, 0.1, LIMIT)]
+    votes = [_vote(repeated_share(words, PHRASE), 0.1, 0.3) if n > PHRASE else 0]
     sentences = [" ".join(_WORD.findall(s)) for s in _SENTENCE.split(low)]
     sentences = [s for s in sentences if s]
     votes.append(_vote(_again(sentences), 0.0, 0.25) if len(sentences) > 1 else 0)
@@ -163,5 +168,5 @@ def score_repetition(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def repetitive(scored: DataFrame, probability: float = 0.5, limit: float = LIMIT) -> DataFrame:
-    """Rows the label model holds to be repetitive, confirmed by the exact share."""
+    """Rows the label model holds to be repetitive, then checked by the exact share."""
     return scored.filter((F.col("posterior") >= probability) & (F.col("share") >= limit))

@@ -5,16 +5,19 @@ chosen one by one. No group is ever collected: each choice is a ``max`` over an
 ordering struct, which Spark aggregates on the map side, so an id that holds a
 third of all rows costs no more than any other.
 
-Recency is where currency reasoning comes in. Rows with a time are ordered by
-it. For rows without one, value-transition precedence is learned from the
-timestamped rows: per group and *state* (the tidied extractor that wrote the
+Recency is where currency reasoning comes in. Value-transition precedence is
+learned from the timestamped rows, always: per group and *state* (the tidied extractor that wrote the
 row), only the first and last time are kept; where all rows of state a precede
 all rows of state b the group votes a < b. Majorities over all groups give a
 directed graph over the states (a bounded set: those of the trust table, and
-``other``), whose topological layers rank them. Within a group the latest
-timestamped row (state s) then competes with the topologically latest row
-without a time (state u): the latter wins only if s precedes u in the learned
-order, or if the group has no timestamped candidate.
+``other``), whose topological layers rank them. Within a group of rows of equal
+merit, two rows that both have a time are ordered by it, all others by the
+learned order: the latest timestamped row (state s) competes with the
+topologically latest row without a time (state u), and the latter wins only if
+s precedes u, or if the group has no timestamped candidate.
+
+A description that is just a name of its entity, the row's own or one another
+row of the group has, says nothing.
 
 Defined results: null ids form no group; ids with a single row give no record;
 a field no row qualifies for gives row number 0; null or unlisted extractors
@@ -29,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalar import tidy
+from graphloom.session import materialize
 
 # Descriptions that say nothing, compared in lower case without punctuation at the end.
 FILLERS = [
@@ -39,12 +43,20 @@ FILLERS = [
 ]
 
 OTHER = "other"
+#: Extractors of the trust table; more raise, as the order learned over them is kept on the driver.
+MAX_STATES = 1000
+#: Descriptions that only repeat another row's name, up to which they are broadcast; beyond, they are joined by shuffle.
+MAX_BROADCAST = 100_000
 
 
-def says_something(text: Column, name: Column) -> Column:
-    """False for null, blank or letterless text, fillers, and the bare name (case, blanks and outer punctuation aside)."""
+def bare(text: Column) -> Column:
+    """Without case, outer blanks and punctuation; blanks collapsed."""
     edges = r"(?U)^[\s\p{P}]+|[\s\p{P}]+$"
-    bare = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), edges, ""), r"(?U)\s+", " ")
+    return F.regexp_replace(F.regexp_replace(F.lower(text), edges, ""), r"(?U)\s+", " ")
+
+
+def says_something(text: Column, name: Column) -> Column:
+    """False for null, blank or letterless text, fillers, and the bare name."""
     body = bare(text)
     return (
         text.isNotNull()
@@ -54,6 +66,14 @@ def says_something(text: Column, name: Column) -> Column:
     )
 
 
+def _just_names(entities: DataFrame) -> DataFrame:
+    """(id, words): descriptions, as numbers of their bare form, that are the name some other row of the id has."""
+    rows = entities.filter("id is not null")
+    told = rows.filter(says_something(F.col("description"), F.col("entity_name"))).select("id", F.xxhash64(bare(F.col("description"))).alias("words"))
+    names = rows.filter(F.regexp_like("entity_name", F.lit(r"[\p{L}\p{N}]"))).select("id", F.xxhash64(bare(F.col("entity_name"))).alias("words"))
+    return told.join(names.distinct(), ["id", "words"], "left_semi").distinct()
+
+
 def distinct_keys(keys: Column) -> Column:
     """Distinct tidied keys, without nulls and blanks; an empty array for a null one."""
     cleaned = F.array_distinct(F.filter(F.transform(keys, tidy), lambda k: k.isNotNull() & (k != "")))
@@ -111,27 +131,36 @@ def survivors(entities: DataFrame, trust: DataFrame) -> DataFrame:
         .agg(F.max("trust").alias("trust"))
     )
     # The trust table has a handful of rows; its states bound the size of the learned order.
-    levels = {r["state"]: r["trust"] or 0 for r in listed.limit(1000).collect()}
+    levels = {r["state"]: r["trust"] or 0 for r in listed.limit(MAX_STATES + 1).collect()}
+    if len(levels) > MAX_STATES:
+        raise ValueError(f"more than {MAX_STATES} extractors in the trust table")
     state = tidy(F.col("extractor"))
     known = F.coalesce(state.isin(list(levels) or [OTHER]), F.lit(False))
     level = F.lit(0)
     for name, value in sorted(levels.items()):
         level = F.when(state == name, F.lit(value)).otherwise(level)
-    rows = entities.filter("id is not null").select(
-        "id",
-        F.col("rec_no").cast("long").alias("rec_no"),
-        F.col("ingested_at").alias("t"),
-        F.when(known, state).otherwise(F.lit(OTHER)).alias("state"),
-        level.alias("trust"),
-        F.when(says_something(F.col("description"), F.col("entity_name")), F.col("description")).alias("description"),
-        "source_chunk_id",
-        F.size(distinct_keys(F.col("source_chunk_id"))).alias("n_chunks"),
-        "documents_id",
-        (F.size(distinct_keys(F.col("documents_id"))) > 0).alias("has_docs"),
+    names = materialize(_just_names(entities), "names")
+    hollow = names.withColumn("hollow", F.lit(True))
+    hollow = F.broadcast(hollow) if names.count() <= MAX_BROADCAST else hollow
+    told = says_something(F.col("description"), F.col("entity_name"))
+    rows = (
+        entities.filter("id is not null")
+        .withColumn("words", F.when(told, F.xxhash64(bare(F.col("description")))))
+        .join(hollow, ["id", "words"], "left")
+        .select(
+            "id",
+            F.col("rec_no").cast("long").alias("rec_no"),
+            F.col("ingested_at").alias("t"),
+            F.when(known, state).otherwise(F.lit(OTHER)).alias("state"),
+            level.alias("trust"),
+            F.when(F.col("words").isNotNull() & F.col("hollow").isNull(), F.col("description")).alias("description"),
+            "source_chunk_id",
+            F.size(distinct_keys(F.col("source_chunk_id"))).alias("n_chunks"),
+            "documents_id",
+            (F.size(distinct_keys(F.col("documents_id"))) > 0).alias("has_docs"),
+        )
     )
-    # Without rows lacking a time there is nothing to infer, and the pass is saved.
-    undated = rows.filter("t is null").limit(1).count() > 0
-    rank, before = learn_currency(rows) if undated else ({}, set())
+    rank, before = learn_currency(entities.filter("id is not null").select("id", F.when(known, state).otherwise(F.lit(OTHER)).alias("state"), F.col("ingested_at").alias("t")))
     layer = F.lit(0)
     for name, value in sorted(rank.items()):
         layer = F.when(F.col("state") == name, F.lit(value)).otherwise(layer)
@@ -159,8 +188,6 @@ def survivors(entities: DataFrame, trust: DataFrame) -> DataFrame:
     def pick(name: str) -> Column:
         d, u = F.col(f"{name}_d"), F.col(f"{name}_u")
         keep = lambda c: F.struct((-c["r"]).alias("rec"), c["value"].alias("value"))
-        if not undated:
-            return keep(d)
         newer = F.concat_ws(">", d["state"], u["state"]).isin(later or [""])
         wins = d.isNull() | (u["m"] > d["m"]) | ((u["m"] == d["m"]) & newer)
         return F.when(u.isNotNull() & wins, keep(u)).otherwise(keep(d))

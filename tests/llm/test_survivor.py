@@ -1,5 +1,7 @@
 from datetime import datetime as D
 
+import pytest
+
 from graphloom.llm import survivor
 
 ROWS = "rec_no long, id string, entity_name string, description string, source_chunk_id array<string>, documents_id array<string>, extractor string, ingested_at timestamp, state string"
@@ -61,6 +63,36 @@ def test_missing_times_follow_the_learned_order(spark):
     assert got["x"][2] == 902 and got["y"][2] == 903 and got["z"][2] == 906
 
 
+def test_a_name_of_the_entity_is_no_description(spark):
+    rows = [
+        (1, "e", "Ann Lee", "She paints.", ["c"], ["d"], "tool", day(1)),
+        (2, "e", None, "Ann Lee.", ["c"], ["d"], "curator", day(2)),
+        (3, "f", None, "Ann Lee.", ["c"], ["d"], "curator", day(2)),
+        (4, "f", "Bob", None, ["c"], ["d"], "curator", day(1)),
+    ]
+    assert {k: v[0] for k, v in records(spark, rows).items()} == {"e": 1, "f": 3}
+
+
+def test_hidden_times_are_recovered_from_the_learned_order(spark):
+    # each extractor overwrites the one before it; the times of every tenth id are taken away
+    states = ["tool", "curator", "unlisted"]
+    rows, want = [], {}
+    for k in range(200):
+        hidden = k % 10 == 0
+        for n, state in enumerate(states[: 2 + k % 2]):
+            rows.append((10 * k + n, f"i{k}", "n", "Some text.", ["c"], [f"d{n}"], state, None if hidden else day(1 + n)))
+            if hidden:
+                want[f"i{k}"] = 10 * k + n
+    got = records(spark, rows)
+    assert sum(got[k][2] == v for k, v in want.items()) == len(want)
+
+
+def test_too_many_extractors_raise(spark, monkeypatch):
+    monkeypatch.setattr(survivor, "MAX_STATES", 1)
+    with pytest.raises(ValueError, match="extractors"):
+        records(spark, [])
+
+
 def test_order_has_no_cycles():
     rank, before = survivor._order({("a", "b"): 5, ("b", "a"): 1, ("b", "c"): 4, ("c", "a"): 2}, ["a", "b", "c"])
     assert rank == {"a": 0, "b": 1, "c": 2} and before == {("a", "b"), ("b", "c"), ("a", "c")}
