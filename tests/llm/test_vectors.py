@@ -68,3 +68,41 @@ def test_without_a_floor_every_vector_has_its_neighbours(spark):
     want = brute([r[:2] for r in rows], least=-1)
     assert len(got & want) >= 0.98 * len(want)
     assert neighbours.nearest_neighbours(spark.createDataFrame(rows, VEC), min_cosine=0.8).count() == 0
+
+
+def test_two_levels_of_cells(spark, vectors, monkeypatch):
+    monkeypatch.setattr(neighbours, "FLAT", 8)
+    found = neighbours.nearest_neighbours(spark.createDataFrame([(i, v, 0.0) for i, v in vectors], VEC), min_cosine=0.8)
+    got = {(r["vec_a"], r["vec_b"]) for r in neighbours.neighbour_pairs(found).collect()}
+    want = brute(vectors)
+    assert len(got & want) >= 0.95 * len(want)
+
+
+def test_two_level_cells_are_nearly_the_nearest():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    centres = neighbours._kmeans(x, 100, 5, rng)
+    group = np.sort(rng.integers(0, 10, 100))
+    tops = np.stack([centres[group == g].mean(axis=0) for g in range(10)])
+    best, _ = neighbours._nearest(x, centres)
+    assert (neighbours._assign(x, centres, tops, group) == best).mean() > 0.8
+    assert (neighbours._assign(x, centres, tops[:1], np.zeros(100, dtype=np.int64)) == best).all()
+
+
+def test_a_crowd_of_almost_equal_vectors(spark):
+    # a third of all vectors are within a few degrees of one another
+    rng = np.random.default_rng(6)
+    hot = rng.normal(size=64)
+    rows = [(i, (hot + 0.05 * rng.normal(size=64)).astype(np.float32).tolist(), 0.0) for i in range(1500)]
+    rows += [(1500 + i, rng.normal(size=64).astype(np.float32).tolist(), 0.0) for i in range(3000)]
+    found = neighbours.nearest_neighbours(spark.createDataFrame(rows, VEC), min_cosine=0.8)
+    got = {(r["vec_a"], r["vec_b"]) for r in neighbours.neighbour_pairs(found).collect()}
+    want = brute([r[:2] for r in rows])
+    assert len(want) > 4000 and len(got & want) >= 0.9 * len(want)
+
+
+def test_copies_of_a_code_do_not_grow(monkeypatch):
+    # the average cell of n directions stays within one block of queries up to n = (2 * BLOCK) ** 2
+    for n in (10**5, 10**7, 10**8):
+        cells = min(neighbours.MOST, neighbours.DENSITY * n**0.5)
+        assert -(-(n / cells) // neighbours.BLOCK) == 1
