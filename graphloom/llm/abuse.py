@@ -9,7 +9,8 @@ fitted function ``sum_l b_l k(l, passage)`` is the sum of one table entry per
 subsequence, and the whole corpus is scored with a sliding window in numpy: a
 document's score is that of its worst window.
 
-Before that the letters are folded: case and accents dropped, look-alike
+Before that the letters are folded: compatibility forms resolved, case and
+accents dropped, look-alike
 letters of the two alphabets and digits or signs inside words replaced by the
 letters they stand for, everything else (blanks, punctuation, invisible
 characters) removed and repeats of a letter collapsed. A word with masking
@@ -27,9 +28,10 @@ used for fitting; scoring covers every document whole. A quarter of them is held
 choose the threshold.
 
 Defined results: null, empty and letterless texts score the floor value
-``FLOOR`` and are never found; with fewer than two documents of either kind
-among the labelled everything scores ``FLOOR``; repeated document rows each get
-their score; verdicts are compared trimmed and in lower case, unknown and null
+``FLOOR`` and are never found; with fewer than ``MIN_BAD`` bad or two clean
+documents among the labelled the operator abstains: everything scores ``FLOOR``
+and whether it is flagged, like the rates, is null; repeated document rows each
+get their score; verdicts are compared trimmed and in lower case, unknown and null
 ones are ignored; sources likewise, null is a source of its own in the rates;
 extra columns are ignored; empty tables give an empty result.
 """
@@ -63,6 +65,10 @@ GAP = 2
 RIDGE = 1e-3
 FLOOR = -9.0
 SEED = 42
+#: Bad reviewed documents needed to fit anything; with fewer the operator abstains.
+MIN_BAD = 30
+#: Share of the best F1 that a cut must have to count as good as the best.
+PLATEAU = 0.98
 
 _LATIN = "abcdefghijklmnopqrstuvwxyz"
 _CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
@@ -104,8 +110,14 @@ def _folding() -> tuple[np.ndarray, np.ndarray]:
 _TABLE, _INSIDE = _folding()
 
 
+def plain(text: str) -> str:
+    """Compatibility forms (full-width, mathematical and circled letters) as the letters they stand for."""
+    return text if text.isascii() or unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
+
+
 def fold(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(letters, starts): all texts as one row of letter numbers, each followed by WINDOW + 6 zeros."""
+    texts = [plain(t) for t in texts]
     gap = "\x00" * (WINDOW + 6)
     codes = np.frombuffer((gap.join(texts) + gap).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     small = np.where(codes < 0x3000, codes, 0x2FFF).astype(np.int32)
@@ -213,7 +225,7 @@ class Model:
         """The worst window of each text."""
         if not texts:
             return np.empty(0)
-        letters, starts = fold([self.unmask(t) for t in texts])
+        letters, starts = fold([self.unmask(plain(t)) for t in texts])
         sums = window_sums(place_scores(letters, table))
         worst = np.maximum.reduceat(sums, starts)
         some = np.maximum.reduceat(letters, starts) > 0
@@ -377,13 +389,21 @@ def _fit(texts: list[str], bad: np.ndarray) -> tuple[np.ndarray, np.ndarray, flo
 
 
 def _threshold(scores: np.ndarray, bad: np.ndarray) -> float:
-    """The cut with the best F1, in the middle of the gap it falls into; the smallest such cut on ties."""
-    order = np.argsort(-scores)
+    """The middle of the cuts around the one with the best F1 that are hardly worse: the labels are too few to tell these apart."""
+    order = np.argsort(-scores, kind="stable")
+    ranked = scores[order]
     hit = np.cumsum(bad[order])
     f1 = 2 * hit / (np.arange(1, len(order) + 1) + bad.sum())
     top = int(f1.argmax())
-    below = scores[order[top + 1]] if top + 1 < len(order) else scores[order[top]] - 1
-    return float((scores[order[top]] + below) / 2)
+    good = f1 >= PLATEAU * f1[top]
+    first, last = top, top
+    while first > 0 and good[first - 1]:
+        first -= 1
+    while last + 1 < len(order) and good[last + 1]:
+        last += 1
+    # a cut after place i lies between its score and the next one's
+    below = ranked[last + 1] if last + 1 < len(order) else ranked[last] - 1
+    return float((ranked[first] + below) / 2)
 
 
 def _model(texts: list[str], bad: np.ndarray, threshold: float) -> Model:
@@ -429,14 +449,15 @@ def fit(documents: DataFrame, reviews: DataFrame, most: int = MAX_LABELLED) -> M
             texts.append(r["text"])
             bad.append(r["bad"])
     y = np.array(bad, dtype=bool)
-    if y.sum() < 2 or (~y).sum() < 2:
+    if y.sum() < MIN_BAD or (~y).sum() < 2:
         return None
     held = np.random.default_rng(SEED).random(len(texts)) < 0.25
     threshold = 0.0
     inner, outer = np.flatnonzero(~held), np.flatnonzero(held)
     if min(y[inner].sum(), (~y[inner]).sum()) >= 2 and y[outer].sum() >= 5:
         model = _model([texts[i] for i in inner], y[inner], 0.0)
-        threshold = _threshold(model.scores([texts[i] for i in outer], model.table()), y[outer])
+        # never below the boundary of the machine itself, as few labels may leave the cuts open far below it
+        threshold = max(0.0, _threshold(model.scores([texts[i] for i in outer], model.table()), y[outer]))
     return _model(texts, y, threshold)
 
 
@@ -444,7 +465,7 @@ def score_abuse(documents: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, source, score, flagged) for every document; ``source`` is tidied."""
     plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), tidy(F.col("source")).alias("source"), "text")
     if model is None:
-        return plain.select("doc_id", "source", F.lit(FLOOR).alias("score"), F.lit(False).alias("flagged"))
+        return plain.select("doc_id", "source", F.lit(FLOOR).alias("score"), F.lit(None).cast("boolean").alias("flagged"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,7 +490,7 @@ def score_abuse(documents: DataFrame, model: Model | None) -> DataFrame:
 
 
 def source_rates(scored: DataFrame) -> DataFrame:
-    """Documents, flagged documents, their rate and the mean score per source."""
+    """Documents, flagged documents, their rate and the worst score per source; null rates where the operator abstained."""
     return scored.groupBy("source").agg(
         F.count("*").alias("documents"),
         F.sum(F.col("flagged").cast("int")).alias("flagged"),

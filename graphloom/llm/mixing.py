@@ -40,6 +40,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Documents whose fractions are paired in one task, and open documents per node of the tree above.
 BUCKET, FAN = 50_000, 64
+#: Sources of the target table.
+MAX_SOURCES = 100_000
 
 
 @cache
@@ -96,14 +98,16 @@ def pivotal(p: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> np.n
 
 
 def _targets(mix: DataFrame) -> dict[str, tuple[float, int]]:
-    """source -> (share, max_repeats); the target table lists each source once, so it is small."""
+    """source -> (share, max_repeats); the plan is made on the driver, so more than MAX_SOURCES of them raise."""
     rows = (
         mix.groupBy(tidy(F.col("source")).alias("source"))
         .agg(F.sum("target_share").alias("share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("most"))
         .filter("source is not null and share > 0")
-        .limit(100_000)
+        .limit(MAX_SOURCES + 1)
         .collect()
     )
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources among the targets")
     return {r["source"]: (float(r["share"]), int(r["most"])) for r in rows}
 
 

@@ -225,6 +225,27 @@ def test_disguise_is_folded():
         assert folded[folded > 0].tolist() == plain[plain > 0].tolist()
 
 
+def test_compatibility_letters_are_resolved():
+    plain = abuse.fold(["go away"])[0]
+    for other in ("".join(chr(0x1D400 + ord(c) - 65) if c.isalpha() else c for c in "GO AWAY"), "ＧＯ　ＡＷＡＹ", "ⓖⓞ ⓐⓦⓐⓨ"):
+        assert abuse.fold([other])[0].tolist() == plain.tolist()
+
+
+def test_too_few_bad_labels_abstain(spark):
+    rows = corpus(80, 3)
+    d = spark.createDataFrame([(i, t, "a") for i, t, _ in rows], "doc_id long, text string, source string")
+    v = spark.createDataFrame([(i, "abusive" if bad else "clean") for i, _, bad in rows], "doc_id long, verdict string")
+    assert sum(bad for _, _, bad in rows) < abuse.MIN_BAD and abuse.fit(d, v) is None
+    rates = abuse.source_rates(abuse.score_abuse(d, None)).first()
+    assert rates["documents"] == 80 and rates["flagged"] is None and rates["rate"] is None
+
+
+def test_the_threshold_lies_amid_the_equally_good_cuts():
+    scores, bad = np.array([3.0, 2.9, 2.8, 0.0, -1.0, -1.1]), np.array([True, True, True, False, False, False])
+    assert abuse._threshold(scores, bad) == 1.4
+    assert abuse._threshold(np.array([1.0]), np.array([True])) == 0.5
+
+
 def test_scores_find_held_out_abuse(spark):
     rows = corpus(360, 1)
     d = spark.createDataFrame([(i, t, " News", 0.0) for i, t, _ in rows] + [(9000, None, None, 0.0), (9001, "", "b", 0.0), (9002, "123", "b", 0.0), (9003, rows[0][1], "b", 0.0)], "doc_id long, text string, source string, score double")
