@@ -66,3 +66,38 @@ def entity_line(name: Column, kind: Column, description: Column) -> Column:
 
 def relation_line(subject: Column, kind: Column, obj: Column, description: Column) -> Column:
     return F.concat_ws(" | ", subject, kind, obj, description)
+
+
+def _entities_block(entities: Column) -> Column:
+    line = lambda e: F.concat(F.lit("- "), e["entity_name"], F.lit(" ("), e["entity_type"], F.lit("): "), e["description"])
+    return F.array_join(F.transform(entities, line), "\n")
+
+
+def _relations_block(relations: Column) -> Column:
+    def line(r: Column) -> Column:
+        head = F.concat(F.lit("- "), r["source_entity"], F.lit(" → "), r["target_entity"], F.lit(" ("), r["relation_type"])
+        return F.concat(head, F.lit(", strength: "), r["relationship_strength"].cast("string"), F.lit("): "), r["description"])
+
+    return F.array_join(F.transform(relations, line), "\n")
+
+
+def example_messages(kind: str, text: Column, output: Column) -> Column:
+    """A few-shot pair (user, assistant) for one of six tasks from an example's text and output (entities, relations).
+
+    ``kind`` is artifact, entity or relation and then _extraction or _validation.
+    """
+    what, step = kind.split("_")
+    parts = {"artifact": output, "entity": F.struct(output["entities"].alias("entities")), "relation": F.struct(output["relations"].alias("relations"))}
+    lists = {"entity": [("Entities", _entities_block(output["entities"]))], "relation": [("Relations", _relations_block(output["relations"]))]}
+    lists["artifact"] = lists["entity"] + lists["relation"]
+    if step == "extraction":
+        asked = F.concat(F.lit("Text:\n"), text)
+    elif what == "artifact":
+        blocks = [F.when(block != "", F.concat(F.lit(f"{head}:\n"), block)) for head, block in lists[what]]
+        asked = F.concat(F.lit("Triplets for validation:\n"), F.concat_ws("\n\n", *blocks), F.lit("\n\nText for validation:\n"), text)
+    else:
+        head, block = lists[what][0]
+        shown = F.when(block == "", F.lit("(none)")).otherwise(block)
+        asked = F.concat(F.lit(f"{head} for validation:\n"), shown, F.lit("\n\nText:\n"), text)
+    pair = (("user", asked), ("assistant", F.to_json(parts[what])))
+    return F.array(*[F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in pair])

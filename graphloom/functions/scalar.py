@@ -13,6 +13,22 @@ def hash_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.md5(F.concat(*[c for p in parts for c in (F.lit("\u0000"), p)])))
 
 
+def named_hash_id(prefix: str, *parts: Column, **named: Column) -> Column:
+    """As :func:`hash_id`, with the named parts after the others by name: a NUL, the name, an SOH, the value."""
+    extra = [c for k in sorted(named) for c in (F.lit(f"\u0000{k}\u0001"), named[k])]
+    return F.concat(F.lit(prefix), F.md5(F.concat(*[c for p in parts for c in (F.lit("\u0000"), p)], *extra)))
+
+
+def serialized(*columns: str) -> Column:
+    """Compact JSON of the columns, nested ones included, nulls kept."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def serialized_size(*columns: str) -> Column:
+    """Bytes of that JSON in UTF-8."""
+    return F.octet_length(serialized(*columns))
+
+
 def chunk_id(content: Column) -> Column:
     return hash_id("chunk-", content)
 

@@ -126,6 +126,48 @@ def truncate_tokens(text: Column, limit: int) -> Column:
     return F.coalesce(F.array_join(F.slice(words, 1, limit), " "), F.lit(""))
 
 
+def truncate_model_tokens(rows: DataFrame, text: str, output: str, limit: int, tokenizer: str, reserved: int = 0) -> DataFrame:
+    """``rows`` plus ``output``: the text cut to ``limit`` tokens of a public tokenizer, and ``output_tokens``, its own count before.
+
+    ``tokenizer`` is the path of a rank file (``.tiktoken``) or of a tokenizer
+    description (``.json``); ``reserved`` tokens are kept free for the special
+    ones a model adds. Null and empty texts give an empty one.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def codec():
+        if tokenizer.endswith(".json"):
+            from tokenizers import Tokenizer
+
+            own = Tokenizer.from_file(tokenizer)
+            return lambda t: own.encode(t, add_special_tokens=False).ids, own.decode
+        import tiktoken
+        from tiktoken.load import load_tiktoken_bpe
+
+        own = tiktoken.Encoding("own", pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=load_tiktoken_bpe(tokenizer), special_tokens={})
+        return own.encode_ordinary, lambda ids: own.decode(ids, errors="ignore")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, decode = codec()
+        for batch in batches:
+            out, counts = [], []
+            for whole in batch.column(batch.schema.names.index(text)).to_pylist():
+                ids = encode(whole) if whole else []
+                counts.append(len(ids))
+                out.append(whole or "" if len(ids) <= limit - reserved else decode(ids[: max(0, limit - reserved)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string()), pa.array(counts, pa.int32())], names=[*batch.schema.names, output, f"{output}_tokens"])
+
+    return rows.mapInArrow(run, f"{schema}, `{output}` string, `{output}_tokens` int")
+
+
+def distinct_texts(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
+    """The first row of each text, compared without outer blanks; blank and null texts are left out."""
+    keyed = rows.withColumn("__text", scalar.strip(F.col(text))).filter("__text <> ''")
+    best = keyed.groupBy(F.sha2("__text", 256).alias("__key")).agg(F.min(F.struct(*order)).alias("__first"))
+    keyed = keyed.withColumn("__key", F.sha2("__text", 256)).withColumn("__first", F.struct(*order))
+    return keyed.join(best, ["__key", "__first"], "left_semi").select(*rows.columns)
+
+
 def consecutive_similarity(vectors: DataFrame, group: str, order: str, vector: str) -> DataFrame:
     """``vectors`` plus the dot product of each vector with the next one of its group (null at the end).
 

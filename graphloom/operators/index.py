@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import graph, merging
+from graphloom.operators import graph, lookup, merging
 
 TABLES = ("entities", "relations", "chunks", "communities", "summaries", "entity_vectors", "relation_vectors", "chunk_vectors")
 
@@ -148,6 +148,36 @@ class KnowledgeIndex:
     def delete_communities(self, gone: DataFrame) -> KnowledgeIndex:
         return replace(self, communities=self.communities.join(gone.select("id"), "id", "left_anti"), summaries=self.summaries.join(gone.select("id"), "id", "left_anti"))
 
+    def delete_summaries(self, gone: DataFrame) -> KnowledgeIndex:
+        return replace(self, summaries=self.summaries.join(gone.select("id"), "id", "left_anti"))
+
+    def update_chunks(self, new: DataFrame, vectors: DataFrame | None = None) -> KnowledgeIndex:
+        self._require_known(new, self.chunks)
+        return self.upsert_chunks(new, vectors)
+
+    def update_communities(self, new: DataFrame) -> KnowledgeIndex:
+        self._require_known(new, self.communities)
+        return self.upsert_communities(new)
+
+    def update_summaries(self, new: DataFrame) -> KnowledgeIndex:
+        self._require_known(new, self.summaries)
+        return self.upsert_summaries(new)
+
+    def get(self, table: str, request: DataFrame) -> DataFrame:
+        """(pos, id, ...): the records of one of TABLES for (pos, id), null where missing."""
+        stored = getattr(self, table)
+        return lookup.get_by_ids(request, stored, [c for c in stored.columns if c != "id"])
+
+    def edge_specs(self, ids: DataFrame) -> DataFrame:
+        return lookup.edge_specs(ids, self.relations)
+
+    def validate_vectors(self, dim: int) -> None:
+        """Raises where a stored vector has another length than ``dim``; null vectors are none."""
+        for name in TABLES:
+            rows = getattr(self, name)
+            if name.endswith("_vectors") and rows is not None and rows.filter(F.size("vector") != dim).limit(1).count():
+                raise ValueError(f"{name} holds vectors of another length than {dim}")
+
     def check_consistency(self) -> DataFrame:
         return consistency_issues(self)
 

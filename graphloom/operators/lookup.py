@@ -40,6 +40,12 @@ def edges_by_spec(specs: DataFrame, edges: DataFrame) -> DataFrame:
     return matched.select(*columns).unionAll(none.select(*columns))
 
 
+def edge_specs(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(subject_id, object_id, relation_id) of the asked edge ids; unknown ids are left out."""
+    found = edges.join(ids.select("id").distinct(), "id", "left_semi")
+    return found.select("subject_id", "object_id", F.col("id").alias("relation_id"))
+
+
 def hits_to_records(hits: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
     """Inner join of ranked hits with their records; hits without a record are dropped, the rank stays."""
     return hits.join(stored, key)

@@ -8,7 +8,7 @@ ordered by an explicit position, as a shuffle keeps no order of its own.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -135,6 +135,9 @@ def merge_relations(rows: DataFrame, pos: str = "pos") -> DataFrame:
     )
 
 
+#: (new row, stored row, columns of the richer, columns to unite) -> merged row
+Policy = Callable[[dict, dict, list[str], list[str]], dict]
+
 _SPACE = re.compile(r"\s+", re.ASCII)  # as the regular expressions of the JVM
 _BREAK = re.compile(SENTENCE_BREAK, re.ASCII)
 
@@ -167,7 +170,8 @@ def _united(new: dict, stored: dict, firsts: list[str], sets: list[str]) -> dict
     return out
 
 
-def _fold(rows: DataFrame, order: str, firsts: list[str], sets: list[str], other: str) -> DataFrame:
+def _fold(rows: DataFrame, order: str, firsts: list[str], sets: list[str], other: str, policy: Policy | None) -> DataFrame:
+    unite = policy or _united
     names = ["id", *firsts, "description", *sets, other]
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     target = T.StructType([T.StructField(c, kinds[c]) for c in names])
@@ -180,14 +184,14 @@ def _fold(rows: DataFrame, order: str, firsts: list[str], sets: list[str], other
             for row in batch.to_pylist():
                 row["rich"] = len(row["source_chunk_id"] or ())
                 if state is not None and state["id"] == row["id"]:
-                    state = {"id": row["id"], **_united(row, state, firsts, sets)}
+                    state = {"id": row["id"], **unite(row, state, firsts, sets)}
                     continue
                 if state is not None:
                     done.append(state)
                 # one version is united with nothing: the form is that of a merged row
                 rich = row["rich"]
                 blank = dict.fromkeys(row) | {"rich": -1}
-                state = {"id": row["id"], **_united(row, blank, firsts, sets), "rich": rich}
+                state = {"id": row["id"], **unite(row, blank, firsts, sets), "rich": rich}
             yield pa.RecordBatch.from_pylist([{c: r[c] for c in names} for r in done], schema=fields)
         if state is not None:
             yield pa.RecordBatch.from_pylist([{c: state[c] for c in names}], schema=fields)
@@ -197,29 +201,20 @@ def _fold(rows: DataFrame, order: str, firsts: list[str], sets: list[str], other
     return sorted_rows.mapInArrow(run, target)
 
 
-def fold_entities(rows: DataFrame, order: str) -> DataFrame:
-    """All versions of each id merged one after another by ``order``, as so many calls of :func:`merge_entities` do."""
-    return _fold(rows, order, ["entity_name", "entity_type"], ["source_chunk_id", "documents_id"], "clusters")
+def fold_entities(rows: DataFrame, order: str, policy: Policy | None = None) -> DataFrame:
+    """All versions of each id merged one after another by ``order``, as so many calls of :func:`merge_entities` do.
+
+    A ``policy`` of your own takes the new and the stored row, the columns the
+    richer one gives and those to unite, and returns the merged row.
+    """
+    return _fold(rows, order, ["entity_name", "entity_type"], ["source_chunk_id", "documents_id"], "clusters", policy)
 
 
-def fold_relations(rows: DataFrame, order: str) -> DataFrame:
+def fold_relations(rows: DataFrame, order: str, policy: Policy | None = None) -> DataFrame:
     """As :func:`fold_entities`; each step takes the mean of the stored strength and the new one."""
     firsts = ["subject_id", "object_id", "subject_name", "object_name", "relation_type"]
-    return _fold(rows, order, firsts, ["source_chunk_id"], "relation_strength")
+    return _fold(rows, order, firsts, ["source_chunk_id"], "relation_strength", policy)
 
 
 def duplicate_ids(rows: DataFrame, key: str = "id") -> DataFrame:
     return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("copies")).filter("copies > 1")
-
-
-def similar_descriptions(rows: DataFrame, vector: str, key: str, distance: float = 0.5) -> DataFrame:
-    """(a, b): rows of one ``group`` whose vectors are within Euclidean ``distance``.
-
-    With two points as the least size of a cluster, density clustering equals
-    the connected components of these links (see ``graph.components``); rows
-    without a link are noise. Groups are the descriptions of one entity.
-    """
-    left = rows.select("group", F.col(key).alias("a"), F.col(vector).alias("va"))
-    right = rows.select("group", F.col(key).alias("b"), F.col(vector).alias("vb"))
-    gap = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    return left.join(right, "group").filter("a < b").filter(gap <= distance).select("a", "b")

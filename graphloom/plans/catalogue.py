@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.plans import chunks, graphs, references, search  # noqa: F401  (they register their queries)
+from graphloom.plans import building, chunks, graphs, references, search  # noqa: F401  (they register their queries)
 from graphloom.plans.base import ORACLE, QUERIES, Query
 
 

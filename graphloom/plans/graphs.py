@@ -223,21 +223,30 @@ def community_level_filter(spark: SparkSession, base: str) -> DataFrame:
     return community.memberships(entities(spark, base)).filter("level <= 2")
 
 
-@query("select 0 bad_nodes, 0 split_parents, 0 missing_nodes")
+@query("select 0 bad_nodes, 0 split_parents, 0 missing_nodes, 0 disconnected, 0 low_modularity")
 def leiden_invariants(spark: SparkSession, base: str) -> DataFrame:
-    """Violations of the hierarchy's rules: one level 0 cluster per linked node, deeper levels refine, nothing is lost."""
+    """Violations of the hierarchy's rules: one level 0 cluster per linked node, deeper levels refine, nothing is lost,
+    every cluster hangs together, and the partition has a modularity of 0.3 at least."""
     from graphloom.session import materialize
 
-    links = graph.undirected(relations(spark, base))
+    links = materialize(graph.undirected(relations(spark, base)), "undirected")
     found = materialize(community.detect(links), "hierarchy")
     linked = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
     counted = found.groupBy("id", "level").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").cast("int").alias("bad_nodes"))
     up = found.select("id", (F.col("level") - 1).alias("level"), F.col("cluster_id").alias("child"))
     parents = up.filter("level >= 0").join(found, ["id", "level"]).groupBy("level", "child").agg(F.countDistinct("cluster_id").alias("n"))
     split = parents.filter("n > 1").agg(F.count("*").cast("int").alias("split_parents"))
-    missing = linked.join(found.filter("level = 0"), "id", "left_anti").agg(F.count("*").cast("int").alias("missing_nodes"))
-    # three single rows
-    return counted.join(F.broadcast(split)).join(F.broadcast(missing))
+    top = found.filter("level = 0")
+    missing = linked.join(top, "id", "left_anti").agg(F.count("*").cast("int").alias("missing_nodes"))
+    at = lambda c, name: top.select(F.col("id").alias(c), F.col("cluster_id").alias(name))
+    inside = links.join(at("a", "ca"), "a").join(at("b", "cb"), "b").filter("ca = cb")
+    parts = top.join(graph.components(inside.select("a", "b")), "id", "left").groupBy("cluster_id").agg(
+        F.countDistinct(F.coalesce("component", "id")).alias("n")
+    )
+    loose = parts.filter("n > 1").agg(F.count("*").cast("int").alias("disconnected"))
+    low = F.lit(int(community.modularity(links, top) < 0.3)).alias("low_modularity")
+    # four single rows
+    return counted.join(F.broadcast(split)).join(F.broadcast(missing)).join(F.broadcast(loose)).withColumn("low_modularity", low)
 
 
 @query("""

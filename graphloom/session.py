@@ -67,6 +67,30 @@ def shared_dir(spark: SparkSession) -> str:
 _local: str | None = None
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of a path on the driver's JVM."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one, deleted when the driver's JVM ends.
+
+    A result may be read until then, as long as the session that made it lives;
+    what a killed driver leaves behind can go once its application is over.
+    """
+    folder = f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}-{os.getpid()}"
+    if folder not in _runs:
+        files, place = _files(spark, folder)
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _runs.add(folder)
+    return folder
+
+
+_runs: set[str] = set()
+
+
 def materialize(df: DataFrame, label: str = "part") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -74,7 +98,7 @@ def materialize(df: DataFrame, label: str = "part") -> DataFrame:
     that later stages prune columns and a lost executor costs only a re-read.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{label}-{os.getpid()}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.materialized_path = path
@@ -85,6 +109,5 @@ def drop_materialized(df: DataFrame | None) -> None:
     """Delete the files behind a frame made by :func:`materialize`, once nothing reads them any more."""
     path = getattr(df, "materialized_path", None)
     if path is not None:
-        spark = df.sparkSession
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        files, place = _files(df.sparkSession, path)
+        files.delete(place, True)

@@ -164,3 +164,108 @@ class Settings:
         for unknown in sorted(stored.keys() - names):
             warnings.warn(f"unknown setting {unknown}", stacklevel=2)
         return cls(**{k: v for k, v in stored.items() if k in names})
+
+
+def write_graph_file(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A GML multigraph that :func:`read_graph_file` reads back; such a file is one text, written row by row on the driver."""
+
+    def attributes(row: dict, skip: tuple[str, ...]) -> Iterator[str]:
+        for name, value in row.items():
+            if name in skip or value is None:
+                continue
+            if isinstance(value, list):
+                many = ["_networkx_list_start", *value] if len(value) == 1 else value or ["[]"]
+                yield from (f'    {name} "{quoted(v)}"' for v in many)
+            else:
+                yield f"    {name} {value}" if isinstance(value, int | float) else f'    {name} "{quoted(value)}"'
+
+    def quoted(value: object) -> str:
+        plain = html.escape(str(value), quote=False).replace('"', "&quot;")
+        return "".join(c if c.isascii() else f"&#{ord(c)};" for c in plain)
+
+    place: dict[str, int] = {}
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("graph [\n  directed 1\n  multigraph 1\n")
+        for row in nodes.orderBy("id").toLocalIterator():
+            place[row["id"]] = len(place)
+            lines = attributes({k: v for k, v in row.asDict(True).items() if k != "clusters"}, ("id",))
+            out.write("\n".join(["  node [", f"    id {place[row['id']]}", f'    label "{quoted(row["id"])}"', *lines, "  ]\n"]))
+        for row in edges.orderBy("id").toLocalIterator():
+            ends = [place[row[c]] for c in ("subject_id", "object_id")]
+            lines = attributes(row.asDict(True), ("id", "subject_id", "object_id"))
+            out.write("\n".join(["  edge [", f"    source {ends[0]}", f"    target {ends[1]}", f'    key "{quoted(row["id"])}"', *lines, "  ]\n"]))
+        out.write("]\n")
+
+
+def read_vector_file(spark: SparkSession, path: str) -> DataFrame:
+    """(id, vector, payload) of a vector file: JSON with ``data`` (a list of records with ``__id__``) and ``matrix`` (base64 of 32-bit floats).
+
+    ``payload`` is the rest of the record as JSON. A file whose matrix does not
+    fit its dimension raises.
+    """
+    files = spark.read.text(path, wholetext=True)
+
+    def parse(frames):
+        import base64
+
+        import numpy as np
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for text in frame["value"]:
+                store = json.loads(text)
+                matrix = np.frombuffer(base64.b64decode(store.get("matrix") or ""), dtype="<f4")
+                data, dim = store.get("data") or [], int(store["embedding_dim"])
+                if len(matrix) != len(data) * dim:
+                    raise ValueError(f"the matrix holds {len(matrix)} numbers, not {len(data)} x {dim}")
+                for record, vector in zip(data, matrix.reshape(len(data), dim), strict=True):
+                    rest = {k: v for k, v in record.items() if k not in ("__id__", "__vector__")}
+                    rows.append((record.get("__id__"), vector.tolist(), json.dumps(rest, ensure_ascii=False)))
+            yield pd.DataFrame(rows, columns=["id", "vector", "payload"])
+
+    return files.mapInPandas(parse, "id string, vector array<float>, payload string")
+
+
+def check_collection(found: dict[str, object], dim: int, metric: str = "cosine", sparse: str | None = None, idf: bool = True) -> None:
+    """Raises where a vector collection's settings (size, distance, sparse, modifier) are not those expected."""
+    wanted: dict[str, object] = {"size": dim, "distance": metric}
+    if sparse is not None:
+        wanted |= {"sparse": sparse, "modifier": "idf" if idf else None}
+    for name, value in wanted.items():
+        own = found.get(name)
+        if (own.lower() if isinstance(own, str) else own) != value:
+            raise ValueError(f"the collection's {name} is {own!r}, not {value!r}")
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(text, language) of text files and of JSON files with a list of texts or of records with ``text`` and ``language``.
+
+    A text without a language is Russian if most of its letters are Cyrillic,
+    otherwise English; blank texts are left out.
+    """
+    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    plain = whole.filter(~F.col("path").endswith(".json")).select(F.col("value").alias("text"), F.lit(None).cast("string").alias("language"))
+    items = whole.filter(F.col("path").endswith(".json")).select(F.explode(F.from_json("value", "array<string>")).alias("item"))
+    record = F.from_json("item", "struct<text:string,language:string>")
+    listed = items.select(F.coalesce(record["text"], F.when(~F.col("item").startswith("{"), F.col("item"))).alias("text"), record["language"].alias("language"))
+    rows = plain.unionAll(listed).filter(F.trim("text") != "")
+    cyrillic, letters = (F.regexp_count("text", F.lit(p)) for p in (r"[а-яА-ЯёЁ]", r"\p{L}"))
+    guess = F.when(cyrillic * 2 > letters, F.lit("russian")).otherwise(F.lit("english"))
+    return rows.withColumn("language", F.coalesce("language", guess))
+
+
+def export_batches(rows: DataFrame, write, size: int = 500) -> None:
+    """Hands the rows of each partition to ``write`` (a list of dicts) in batches; it runs on the executors and may be repeated there."""
+
+    def run(partition):
+        batch = []
+        for row in partition:
+            batch.append(row.asDict(True))
+            if len(batch) == size:
+                write(batch)
+                batch = []
+        if batch:
+            write(batch)
+
+    rows.foreachPartition(run)
